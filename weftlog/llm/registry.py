@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_ngram_jaccard", "op2_suffix_dedup", "op3_mixing", "op4_pii", "op5_langid", "op6_quality", "op7_packing", "op8_html", "op9_ann", "op10_secrets"]
+MODULES = ["op3_mixing", "op7_packing"]
 
 
 def _modules():
