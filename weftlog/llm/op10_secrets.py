@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftlog.llm import crf
 from weftlog.llm.common import slices, small_batches, table, texts
 
 KINDS = ["assign", "access", "hex"]
@@ -160,66 +161,13 @@ def generated(n: int, seed: int) -> list[tuple[list[str], list[int]]]:
     return out
 
 
-_SCORES = np.array([[0.0, 0.0, -1e4], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])  # I never follows O
-
-
-def _sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+def fit(n: int = 500, seed: int = 11, steps: int = 80) -> tuple[np.ndarray, crf.Moves]:
+    """(weights: features x tags, transitions)."""
+    data = generated(n, seed)
+    return crf.fit([features(tokens, i % 2 == 0) for i, (tokens, _) in enumerate(data)], [tags for _, tags in data], crf.forbidden(3, [(0, 2)], [2]), steps)
 
 
-def fit(n: int = 500, seed: int = 11, steps: int = 80, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """(weights: features x tags, transitions): adaptive gradient steps on the regularised exact log likelihood."""
-    data = generated(n, seed)
-    longest = max(len(t) for t, _ in data)
-    x = np.zeros((n, longest, len(NAMES)))
-    y, mask = np.zeros((n, longest), np.int64), np.zeros((n, longest))
-    for i, (tokens, tags) in enumerate(data):
-        x[i, : len(tokens)] = features(tokens, i % 2 == 0)
-        y[i, : len(tags)], mask[i, : len(tags)] = tags, 1
-    flat, hot = x.reshape(-1, len(NAMES)), np.eye(3)[y] * mask[..., None]
-    pairs = np.einsum("nti,ntj->ij", hot[:, :-1], hot[:, 1:])
-    w, a = np.zeros((len(NAMES), 3)), np.zeros((3, 3))
-    sq_w, sq_a = np.full_like(w, 1e-8), np.full_like(a, 1e-8)
-    for _step in range(steps):
-        unary, move = x @ w, a + _SCORES
-        forward, backward = np.empty((n, longest, 3)), np.zeros((n, longest, 3))
-        forward[:, 0] = unary[:, 0] + np.array([0, 0, -1e4])
-        for t in range(1, longest):
-            new = _sum(forward[:, t - 1, :, None] + move, 1) + unary[:, t]
-            forward[:, t] = np.where(mask[:, t, None] > 0, new, forward[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            new = _sum(move + (unary[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-            backward[:, t] = np.where(mask[:, t + 1, None] > 0, new, backward[:, t + 1])
-        whole = _sum(forward[:, -1], 1)
-        node = np.exp(forward + backward - whole[:, None, None]) * mask[..., None]
-        edge = np.exp(forward[:, :-1, :, None] + move + (unary[:, 1:] + backward[:, 1:])[:, :, None, :] - whole[:, None, None, None]) * mask[:, 1:, None, None]
-        grad_w = flat.T @ (hot - node).reshape(-1, 3) / n - 1e-3 * w
-        grad_a = (pairs - edge.sum((0, 1))) / n - 1e-3 * a
-        sq_w += grad_w**2
-        sq_a += grad_a**2
-        w += rate * grad_w / np.sqrt(sq_w)
-        a += rate * grad_a / np.sqrt(sq_a)
-    return w, a + _SCORES
-
-
-def viterbi(unary: np.ndarray, move: np.ndarray) -> list[int]:
-    """The best path of tags."""
-    best = unary[0] + np.array([0, 0, -1e4])
-    back = []
-    for row in unary[1:]:
-        all_ = best[:, None] + move
-        back.append(all_.argmax(0))
-        best = all_.max(0) + row
-    tag = int(best.argmax())
-    path = [tag]
-    for row in reversed(back):
-        tag = int(row[tag])
-        path.append(tag)
-    return path[::-1]
-
-
-def extra_spans(text: str, w: np.ndarray, move: np.ndarray) -> list[tuple[int, int]]:
+def extra_spans(text: str, w: np.ndarray, move: crf.Moves) -> list[tuple[int, int]]:
     """(start, end) of what the field tags as secrets."""
     places = [m.span() for m in _ODD.finditer(text)]
     if not places:
@@ -241,7 +189,7 @@ def extra_spans(text: str, w: np.ndarray, move: np.ndarray) -> list[tuple[int, i
         tokens = [text[s:e] for s, e in marks]
         if not any(len(t) >= 6 for t in tokens):
             continue
-        tags = viterbi(features(tokens, code) @ w, move)
+        tags = crf.viterbi(features(tokens, code) @ w, move)
         i = 0
         while i < len(tags):
             if tags[i]:
@@ -260,7 +208,7 @@ def extra_spans(text: str, w: np.ndarray, move: np.ndarray) -> list[tuple[int, i
 _OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def scanner(weights: np.ndarray, move: np.ndarray):
+def scanner(weights: np.ndarray, move: crf.Moves):
     def scan(batches):
         for batch in slices(batches, "text"):
             rows = []
@@ -278,7 +226,7 @@ def scanner(weights: np.ndarray, move: np.ndarray):
 
 
 @lru_cache(maxsize=1)
-def model() -> tuple[np.ndarray, np.ndarray]:
+def model() -> tuple[np.ndarray, crf.Moves]:
     return fit()
 
 
