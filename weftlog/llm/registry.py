@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_ngram_jaccard", "op3_mixing", "op4_pii", "op5_langid", "op6_quality", "op7_packing", "op9_ann", "op10_secrets"]
+MODULES = ["op1_ngram_jaccard", "op3_mixing", "op4_pii", "op5_langid", "op6_quality", "op7_packing", "op8_html", "op9_ann", "op10_secrets"]
 
 
 def _modules():
