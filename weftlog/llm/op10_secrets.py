@@ -237,6 +237,31 @@ def find(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(scanner(*model()), _OUT)
 
 
+def redactor(weights: np.ndarray, move: crf.Moves, mask: str):
+    def redact(batches):
+        for batch in slices(batches, "text"):
+            out = []
+            for text in batch.column("text").to_pylist():
+                spans = sorted([(s, e) for s, _, e in base_spans(text)] + extra_spans(text, weights, move)) if text else []
+                parts, at = [], 0
+                for s, e in spans:
+                    if e > at:
+                        parts += [text[at:s], mask] if s >= at else []
+                        at = e
+                out.append("".join([*parts, text[at:]]) if spans else text)
+            columns = {n: batch.column(n) for n in batch.schema.names} | {"text": pa.array(out, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in out], pa.int64())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return redact
+
+
+def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """documents (doc_id, text, lang, source, n_chars) with every span replaced by a mask; overlapping spans by one. A text without spans stays as it is."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))))
+    return rows.mapInArrow(redactor(*model(), mask), rows.schema)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))
 

@@ -282,6 +282,16 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     return whole.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least_id", "doc_id").alias("component_id"))
 
 
+def first_of_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, that have the smallest doc_id of their component; rows that repeat id and text stay once."""
+    store = Written(docs.sparkSession)
+    found = store.write(link(docs, words, percent), "links")
+    others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    again = docs.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).limit(1).count()
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 

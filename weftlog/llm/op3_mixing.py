@@ -16,15 +16,18 @@ empty table gives no rows; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import Written, count_words, small_batches, table
+from weftlog.llm.common import WORD, Written, count_words, small_batches, table
 
 CYCLE, MOST, SEED = 3, 3, "mix-1"
+_WORD = re.compile(WORD)
 _RUN = "doc_id long, source string, size long, mix_key string, part int, before long"
 
 
@@ -97,6 +100,32 @@ def mix(docs: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
     )
 
 
+def _repeat(batches):
+    """Whole copies of each text, then its first words where the cut falls inside."""
+    for batch in batches:
+        rows = batch.to_pydict()
+        names = [n for n in rows if n not in ("size", "taken")]
+        out = {n: [] for n in names}
+        for i, (text, size, taken) in enumerate(zip(rows["text"], rows["size"], rows["taken"], strict=True)):
+            for k in range(-(-taken // size) if size else 0):
+                rest = taken - k * size
+                cut = text if rest >= size else text[: next(m.end() for j, m in enumerate(_WORD.finditer(text), 1) if j == rest)]
+                for n in names:
+                    out[n].append(rows[n][i])
+                out["text"][-1], out["n_chars"][-1] = cut, len(cut)
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([batch.schema.field(n) for n in names]))
+
+
+def mixed(docs: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """documents (doc_id, text, lang, source, n_chars) as the mix takes them: a row for each epoch; the row at a source's cut has its first words. Texts without words go."""
+    rows = docs.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))))
+    # Rows of one id, source and size share the larger of their shares.
+    shares = mix(rows, most, seed).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken")).where(F.col("taken") > 0).alias("m")
+    r = rows.withColumn("size", count_words(F.col("text"))).alias("r")
+    on = F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("r.source").eqNullSafe(F.col("m.source")) & (F.col("r.size") == F.col("m.size"))
+    return r.join(shares, on).select("r.*", "m.taken").mapInArrow(_repeat, rows.schema)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -28,6 +28,7 @@ from weftlog.llm.common import slices, small_batches, table, text_buffers, texts
 WINDOW, WINDOWS, SAMPLE = 256, 4, 1500
 WIDTHS, FILTERS, EPOCHS, SEED = (2, 3, 4), 8, 6, 5
 CLASSES = 128
+DOCUMENT = [("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long")]
 
 
 def _classes() -> np.ndarray:
@@ -171,7 +172,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Net | None:
     return Net(languages).fit(x, y)
 
 
-def predictor(net: Net | None):
+def predictor(net: Net | None, keep: list[str]):
+    """Adds lang_pred and score to the columns named in keep."""
+
     def predict(batches):
         if net is not None:
             net.ready()
@@ -186,7 +189,7 @@ def predictor(net: Net | None):
                 best = mean.argmax(1)
                 lang[lettered] = np.array(net.languages, object)[best][lettered]
                 score[lettered] = mean[np.arange(len(best)), best][lettered]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(lang), pa.string()), pa.array(np.clip(score, 0, 1))], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(list(lang), pa.string()), pa.array(np.clip(score, 0, 1))], names=[*keep, "lang_pred", "score"])
 
     return predict
 
@@ -195,10 +198,19 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, lang_pred, score."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(predictor(net), "doc_id long, lang_pred string, score double")
+    found = rows.mapInArrow(predictor(net, ["doc_id"]), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def known(docs: DataFrame, net: Net | None, least: float) -> DataFrame:
+    """The rows of documents (doc_id, text, lang, source, n_chars) whose language is recognised with a score of at least `least`."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(*(F.col(c).cast(t).alias(c) for c, t in DOCUMENT))
+    schema = ", ".join(f"{c} {t}" for c, t in DOCUMENT) + ", lang_pred string, score double"
+    found = rows.mapInArrow(predictor(net, [c for c, _ in DOCUMENT]), schema)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))
