@@ -1,11 +1,53 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: five stages from documents to packed sequences.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns
+of documents (doc_id, text, lang, source, n_chars). SQL can't express the stages; the tests hold them against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftlog.llm import op1_ngram_jaccard, op3_mixing, op5_langid, op7_packing, op10_secrets
+from weftlog.llm.common import Written, table
+
+#: Language ID rejects a document below this score (a guess among four languages has 0.25 at least).
+LEAST_SCORE = 0.35
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go."""
+    return op5_langid.known(docs, op5_langid.train(docs), LEAST_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones stays: the one with the smallest id. Shingles of five words, a similarity of 0.8."""
+    return op1_ngram_jaccard.first_of_groups(docs, words=5, percent=80)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
+    return op10_secrets.redacted(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and as far, as their source's budget takes them."""
+    return op3_mixing.mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their places in sequences of 2048 tokens."""
+    return op7_packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again as the next one's input."""
+    store = Written(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = store.write(stage(spark, docs, sf_dir), name)
     return docs
