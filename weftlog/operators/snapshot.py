@@ -70,7 +70,12 @@ class SnapshotSource(TableSource):
 
     def __init__(self, spark: SparkSession, table: TableFiles, snapshot: Snapshot):
         self.spark, self.snapshot = spark, snapshot
-        super().__init__(table.descriptor.schema, self.rows, ORDER)
+        super().__init__(table.descriptor.schema, self.rows, ORDER, self._scan)
+
+    def _scan(self) -> DataFrame:
+        paths = [p for f in self.snapshot.files for p in f.paths] + [p for e in self.snapshot.log for p in e.payload]
+        struct = self.schema.spark()
+        return self.spark.read.schema(struct).parquet(*paths) if paths else self.spark.createDataFrame([], struct)
 
     def rows(self) -> DataFrame:
         schema = self.schema

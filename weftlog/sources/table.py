@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,14 +16,14 @@ BATCH_ROWS = 1024
 
 
 class TableSource:
-    """A schema and a function that gives its rows, with the columns `order` that put them in order."""
+    """A schema and a function that gives its rows, with the columns `order` that put them in order; `plain` gives them without, for scans."""
 
-    def __init__(self, schema: Schema, rows: Callable[[], DataFrame], order: list[str]):
-        self.schema, self._rows, self.order = schema, rows, order
+    def __init__(self, schema: Schema, rows: Callable[[], DataFrame], order: list[str], plain: Callable[[], DataFrame] | None = None):
+        self.schema, self._rows, self.order, self._plain = schema, rows, order, plain or rows
 
     def scan(self, projection: list[int] | None = None) -> DataFrame:
         """The columns at these indices, in this order; lazy, so only they are read. IndexError for a bad index; an empty list keeps the rows."""
-        return self._rows().select(*aliased(self.schema, self.schema.fitted(projection)))
+        return self._plain().select(*aliased(self.schema, self.schema.fitted(projection)))
 
     def ordered(self, projection: list[int] | None = None) -> DataFrame:
         """The same, sorted as the source orders its rows."""
@@ -63,8 +64,12 @@ class ParquetSource(TableSource):
         if required and absent:
             raise FileNotFoundError(absent[0][0])
         self.files = [f for f, _ in found]
-        self._places = [u.replace("file:/", "file:///") if u.startswith("file:/") and not u.startswith("file:///") else u for _, u in found]
-        super().__init__(schema, self._read, ["_file", "_row"])
+        self._places = [re.sub("^file:/+", "file:/", u) for _, u in found]
+        super().__init__(schema, self._read, ["_file", "_row"], self._scan)
+
+    def _scan(self) -> DataFrame:
+        struct = self.schema.spark()
+        return self.spark.read.schema(struct).parquet(*self.files) if self.files else self.spark.createDataFrame([], struct)
 
     def _read(self) -> DataFrame:
         if not self.files:
@@ -73,7 +78,7 @@ class ParquetSource(TableSource):
         if len(self._places) == 1:
             number = F.lit(0)
         else:
-            number = F.element_at(F.create_map(*[F.lit(x) for p in enumerate(self._places) for x in (p[1], p[0])]), F.col("_metadata.file_path"))
+            number = F.element_at(F.create_map(*[F.lit(x) for p in enumerate(self._places) for x in (p[1], p[0])]), F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/"))
         return rows.select("*", number.alias("_file"), F.col("_metadata.row_index").alias("_row"))
 
     def read_range(self, first: int, count: int, projection: list[int] | None = None, file: int = 0) -> DataFrame:
