@@ -58,7 +58,7 @@ class Encoder:
             def __missing__(self, chunk):
                 if len(chunk) > 48:
                     return outer.keep(outer.encode(" " + chunk))
-                word = chunk[:-1] if chunk[-1] in ".,!" else chunk
+                word = chunk[:-1] if chunk.endswith((".", ",", "!")) else chunk
                 if not (word.isalpha() and max(word) < "\u0250"):
                     found = outer.encode(" " + chunk)
                 elif word is chunk:  # letters after one space are a single piece of the pattern
