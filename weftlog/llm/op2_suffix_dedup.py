@@ -380,4 +380,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_suffix_dedup": f"""
+WITH data AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS (SELECT doc_id, i, b[i + 1:i + {LENGTH}] AS w FROM data, LATERAL (SELECT unnest(range(0, n - {LENGTH - 1})) AS i)),
+placed AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM strings),
+gone AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM placed WHERE k > 1),
+marked AS (SELECT doc_id, i, sum(CASE WHEN last IS NULL OR i > last + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gone),
+runs AS (SELECT doc_id, min(i) AS s, max(i) + {LENGTH} AS e FROM marked GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS s, s AS e FROM runs
+  UNION ALL SELECT d.doc_id, coalesce(max(r.e), 0), d.n FROM data d LEFT JOIN runs r USING (doc_id) GROUP BY d.doc_id, d.n),
+texts AS (SELECT k.doc_id, sha256(unhex(string_agg(hex(b[s + 1:e]), '' ORDER BY s))) AS kept_sha256 FROM kept k JOIN data USING (doc_id) GROUP BY k.doc_id),
+sums AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, kept_sha256
+FROM data JOIN texts USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+}
