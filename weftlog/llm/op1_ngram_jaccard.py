@@ -223,6 +223,18 @@ def components(edges: DataFrame, store: Written) -> DataFrame:
         now = after
 
 
+def _rest(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be similar, of nodes outside their bucket's largest component and the others of the bucket."""
+    sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("s")).select("key", F.col("s.comp").alias("main"))
+    full = open_.join(nodes.select("node", "n", "sk"), "node").join(main, "key")
+    side = lambda c: full.select("key", F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("n").alias(f"{c}_n"), F.col("sk").alias(f"{c}_sk"), F.col("main").alias(f"{c}_main"))
+    x = side("a").where(F.col("a_comp") != F.col("a_main"))
+    y = side("b").withColumnRenamed("key", "b_key")
+    once = (F.col("b_comp") == F.col("a_main")) | (F.col("a") < F.col("b"))
+    return x.join(y, (F.col("key") == F.col("b_key")) & (F.col("a_comp") != F.col("b_comp")) & once & _near(percent)).select("a", "b").distinct()
+
+
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -242,14 +254,15 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     held = rows.join(owners, rows["doc_id"].eqNullSafe(owners["owner"])).select("node", "text")
     arrays = store.write(held.mapInArrow(_arrays(words), "node long, items array<bigint>"), "arrays")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) of distinct nodes whose sets are similar."""
         side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sk").alias(f"{c}_sk"))
         left = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(percent)).select("a", "b", "a_n", "b_n")
         near = store.write(left, "near")
         first = near.join(arrays.select(F.col("node").alias("a"), F.col("items").alias("a_items")), "a")
         both = first.join(arrays.select(F.col("node").alias("b"), F.col("items").alias("b_items")), "b")
-        return both.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_items", "b_items")).alias("both")).where(similar(percent)).select("a", "b").distinct()
+        found = both.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_items", "b_items")).alias("both")).where(similar(percent)).select("a", "b").distinct()
+        return store.write(found, name)
 
     edges: DataFrame | None = None
     comp: DataFrame | None = None
@@ -258,24 +271,17 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         rank = F.struct(F.xxhash64(F.col("node"), F.lit(turn)).alias("h"), F.col("node"), F.col("comp"))
         pivots = open_.groupBy("key").agg(F.min(rank).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.comp").alias("b_comp"))
         pairs = open_.join(pivots, "key").where(F.col("comp") != F.col("b_comp")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        found = store.write(confirmed(pairs), f"links{turn}")
+        found = confirmed(pairs, f"links{turn}")
         edges = found if edges is None else edges.unionByName(found)
         comp = components(edges, store)
         named = open_.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         named = store.write(named, f"named{turn}")
         unsettled = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") != F.col("y")).select("key")
         open_ = store.write(named.join(unsettled, "key"), f"open{turn}")
-    # Nodes outside their bucket's largest component against the others of the bucket.
-    sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("s")).select("key", F.col("s.comp").alias("main"))
-    full = open_.join(nodes.select("node", "n", "sk"), "node").join(main, "key")
-    side = lambda c: full.select("key", F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("n").alias(f"{c}_n"), F.col("sk").alias(f"{c}_sk"), F.col("main").alias(f"{c}_main"))
-    x = side("a").where(F.col("a_comp") != F.col("a_main"))
-    y = side("b").withColumnRenamed("key", "b_key")
-    once = (F.col("b_comp") == F.col("a_main")) | (F.col("a") < F.col("b"))
-    rest = x.join(y, (F.col("key") == F.col("b_key")) & (F.col("a_comp") != F.col("b_comp")) & once & _near(percent)).select("a", "b").distinct()
-    found = store.write(confirmed(rest), "links")
-    comp = components(edges.unionByName(found), store)
+        if not open_.limit(1).count():
+            break
+    else:
+        comp = components(edges.unionByName(confirmed(_rest(open_, nodes, percent), "links")), store)
 
     whole = sets.select("doc_id", "n", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = whole.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("least_id"))
