@@ -4,7 +4,8 @@ Bytes are classed (letters without case, blanks, digits, signs, and each byte of
 widths 2, 3 and 4 slide over fixed windows of `WINDOW` bytes, each filter's largest value in a window is kept, and a
 softmax layer gives the languages. Training is numpy, on windows of labelled documents: up to `WINDOWS` windows spread
 evenly over a document's whole text, and the `SAMPLE` windows of each language with the smallest hashes of doc_id and
-place (a documented bound; nothing but training is sampled). Documents whose crc32(doc_id) mod 3 is 1 are held out.
+place (a documented bound; nothing but training is sampled; each
+task cuts its own windows to that many before they meet, which Spark does for ranks of up to 1000). Documents whose crc32(doc_id) mod 3 is 1 are held out.
 
 Prediction covers every whole text: its windows (the last moved back to be full) are run in batches, and the mean of
 their probabilities decides. Filters of two adjacent bytes are tables of byte pairs, so a window costs a few lookups.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weftlog.llm.common import slices, small_batches, table, text_buffers, texts
 
-WINDOW, WINDOWS, SAMPLE = 256, 4, 1500
+WINDOW, WINDOWS, SAMPLE = 256, 4, 1000
 WIDTHS, FILTERS, EPOCHS, SEED = (2, 3, 4), 8, 6, 5
 CLASSES = 128
 DOCUMENT = [("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long")]
