@@ -37,6 +37,8 @@ from weftlog.llm.common import _LETTERS, _M1, _inverse_powers, _powers, mix, sli
 
 LENGTH, GRAM = 100, 24
 LEFT = LENGTH - GRAM
+#: Stands for a null id.
+NO_ID = -(2**63) + 1
 #: A task cuts its sorted suffixes into runs when it holds so many.
 RUN = 40_000
 
@@ -359,8 +361,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = docs.select(F.col("doc_id").cast("long").alias("shown"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63) + 1)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    text = text.withColumn("row", F.xxhash64("doc_id", "text", F.lit(1))).select("row", "shown", "doc_id", "text")
+    # All joins take these three columns, so that the exchange of the texts is made once and used again.
+    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = text.select(F.xxhash64("doc_id", "text", F.lit(1)).alias("row"), "doc_id", "text")
     # The first row of each text: two fingerprints and the length stand for the text.
     marks = text.select("row", "doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"), F.octet_length("text").alias("n"))
     firsts = marks.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "row")).alias("m")).where(F.col("n") >= LENGTH).select(F.col("m.row").alias("row"))
@@ -372,7 +375,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     spans = runs.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_merge, "row long, start int, end int")
     spans = spans.groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     whole = text.join(spans, "row", "left").join(firsts.withColumn("first", F.lit(True)), "row", "left")
-    return whole.select("shown", "text", "starts", "ends", F.col("first").isNull().alias("copy")).mapInArrow(_digest, _RESULT)
+    return whole.select(F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("shown"), "text", "starts", "ends", F.col("first").isNull().alias("copy")).mapInArrow(_digest, _RESULT)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
