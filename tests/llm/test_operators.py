@@ -292,6 +292,21 @@ def test_quality(spark):
     assert op6.judge(documents(spark, [])).count() == 0
 
 
+def test_quality_of_small_groups(spark):
+    r = random.Random(9)
+    plain = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(r.randint(55, 300)))
+    junk = lambda: re.sub(" ", "### ", plain())
+    rows = []  # (lang, source, junk)
+    for lang, source, n in [("en", "one", 1), ("en", "below", 49), ("en", "least", 50), ("fr", "one", 1), (None, None, 2), ("en", "clean", 1)]:
+        rows += [(lang, source, i == 0 and source != "clean") for i in range(n)]
+    texts = [junk() if bad else plain() for _, _, bad in rows] + ["too short"]
+    df = documents(spark, texts, langs=[x[0] for x in rows] + ["de"], sources=[x[1] for x in rows] + ["de"])
+    got = found(op6.judge(df))
+    assert len(got) == len(texts) and all(x.distance is not None for x in got.values())
+    assert [got[i].kept for i in range(len(rows))] == [not bad for _, _, bad in rows]
+    assert [(x.distance, x.kept) for x in op6.judge(documents(spark, ["too short", None])).collect()] == [(None, False)] * 2
+
+
 # Packing.
 
 

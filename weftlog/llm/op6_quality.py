@@ -3,11 +3,12 @@
 Everything is DataFrame and SQL functions. The statistics of a text become a vector of transformed rates; for each
 (language, source) the minimum covariance determinant estimate of centre and scatter is found by concentration steps:
 from medians and quartile ranges, keep the share `H` of documents with the smallest Mahalanobis distances, re-estimate
-from those, repeat. A document farther than `CUTOFF` is rejected. Every step is one partial aggregation over the vectors,
+from those, repeat. A document farther than `CUTOFF` is rejected. A group with fewer than `LEAST` documents that pass the
+plain rules is judged by the same estimate of its language, and where that has too few as well, of all documents. Every step is one partial aggregation over the vectors,
 so a group that holds a third of all rows is summed where its rows lie.
 
-Null text has no words and fails; a null language or source is a group of its own; a group with fewer than `LEAST`
-documents that pass the plain rules rejects none; repeated rows count each; an empty table gives no rows.
+Null text has no words and fails; a null language or source is a group of its own; the distance is null only if no
+document at all passes the plain rules; repeated rows count each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from weftlog.llm.common import Written, table
 
 WS = r"[\x20\x09-\x0D]+"
-#: Share of a group that concentration keeps, steps, squared distance that rejects, smallest group.
+#: Share of a group that concentration keeps, steps, squared distance that rejects, smallest group with an estimate of its own.
 H, STEPS, CUTOFF, LEAST = 0.75, 3, 60.0, 50
 #: Least standard deviation of each transformed statistic, so that one that hardly varies can't reject alone.
 FLOORS = [1.5, 0.15, 0.6, 0.6, 0.6]
@@ -59,6 +60,8 @@ def vector() -> list[Column]:
 
 D = len(FLOORS)
 X, GROUP = [f"x{i}" for i in range(D)], ["lang", "source"]
+#: What estimates are made of: the group; too small, its language; too small, all documents.
+LEVELS = [GROUP, ["lang"], []]
 
 
 def _cholesky(cov: dict[tuple[int, int], Column]) -> list[tuple[str, Column]]:
@@ -73,26 +76,29 @@ def _cholesky(cov: dict[tuple[int, int], Column]) -> list[tuple[str, Column]]:
     return out
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
+def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and factor of the covariance (with the floors on its diagonal) of each group."""
-    sums = rows.groupBy(*GROUP).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[F.covar_pop(X[i], X[j]).alias(f"c_{i}_{j}") for i in range(D) for j in range(i + 1)])
+    sums = rows.groupBy(*keys).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[F.covar_pop(X[i], X[j]).alias(f"c_{i}_{j}") for i in range(D) for j in range(i + 1)])
     cov = {(i, j): F.col(f"c_{i}_{j}") + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(D) for j in range(i + 1)}
     for name, value in _cholesky(cov):
         sums = sums.withColumn(name, value)
-    return sums.select(*GROUP, *[f"m{i}" for i in range(D)], *[f"l_{i}_{j}" for i in range(D) for j in range(i + 1)])
+    return sums.select(*keys, *[f"m{i}" for i in range(D)], *[f"l_{i}_{j}" for i in range(D) for j in range(i + 1)])
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _start(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Medians, and quartile ranges as independent deviations."""
-    found = rows.groupBy(*GROUP).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(X)])
+    found = rows.groupBy(*keys).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(X)])
     scale = {i: F.sqrt(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + FLOORS[i] ** 2) for i in range(D)}
-    return found.select(*GROUP, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)], *[(scale[i] if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(D) for j in range(i + 1)])
+    return found.select(*keys, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)], *[(scale[i] if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(D) for j in range(i + 1)])
 
 
-def _joined(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
-    right = groups.withColumnsRenamed({c: f"g_{c}" for c in GROUP})
-    on = rows["lang"].eqNullSafe(right["g_lang"]) & rows["source"].eqNullSafe(right["g_source"])
-    return rows.join(F.broadcast(right) if few else right, on, "left").drop("g_lang", "g_source")
+def _joined(rows: DataFrame, right: DataFrame, few: bool, keys: list[str], how: str = "left") -> DataFrame:
+    """rows with what right has for their keys (null equals null; without keys, right is one row)."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(right))
+    right = right.withColumnsRenamed({c: f"g_{c}" for c in keys})
+    on = [rows[c].eqNullSafe(right[f"g_{c}"]) for c in keys]
+    return rows.join(F.broadcast(right) if few else right, on, how).drop(*[f"g_{c}" for c in keys])
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -105,23 +111,36 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"z{i}") ** 2 for i in range(1, D)), F.col("z0") ** 2))
 
 
+def _fit(passed: DataFrame, keys: list[str], few: bool, store: Written) -> DataFrame:
+    """keys -> centre, factor and spread of the minimum covariance determinant estimate."""
+    model = store.write(_start(passed, keys), "start")
+    for step in range(STEPS):
+        near = _distance(_joined(passed, model, few, keys)).select(*keys, *X, "d2")
+        limits = near.groupBy(*keys).agg(F.percentile_approx("d2", H, 1000).alias("limit"))
+        near = _joined(near, limits, few, keys).where(F.col("d2") <= F.col("limit"))
+        model = store.write(_estimate(near, keys), f"step{step}")
+    spread = _distance(_joined(passed, model, few, keys)).groupBy(*keys).agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / MEDIAN, F.lit(1.0)).alias("spread"))
+    return _joined(model, spread, few, keys)
+
+
 def judge(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, source) -> statistics, base_failed, distance (squared; null where a group is too small), kept."""
+    """docs (doc_id, text, lang, source) -> statistics, base_failed, distance (squared), kept."""
     store = Written(docs.sparkSession)
     stats = store.write(statistics(docs), "statistics")
     passed = stats.where(~F.col("base_failed")).select(*GROUP, *[v.alias(x) for v, x in zip(vector(), X, strict=True)])
-    groups = store.write(passed.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST), "groups")
+    groups = store.write(stats.groupBy(*GROUP).agg(F.count_if(~F.col("base_failed")).alias("n")), "groups")
     few = groups.count() <= BROADCAST_ROWS
-    model = store.write(_start(passed), "start")
-    for step in range(STEPS):
-        near = _distance(_joined(passed, model, few)).select(*GROUP, *X, "d2")
-        limits = near.groupBy(*GROUP).agg(F.percentile_approx("d2", H, 1000).alias("limit"))
-        near = _joined(near, limits, few).where(F.col("d2") <= F.col("limit"))
-        model = store.write(_estimate(near), f"step{step}")
-    spread = _distance(_joined(passed, model, few)).groupBy(*GROUP).agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / MEDIAN, F.lit(1.0)).alias("spread"))
-    final = _joined(_joined(groups, model, few), spread, few).drop("n")
+    languages = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"))
+    level = F.when(F.col("n") >= LEAST, 0).when(F.col("lang_n") >= LEAST, 1).otherwise(2)
+    groups = store.write(_joined(groups, languages, few, ["lang"]).select(*GROUP, level.alias("level")), "levels")
+    final = None
+    for k in [r.level for r in groups.select("level").distinct().collect()] or [2]:
+        keys, mine = LEVELS[k], groups.where(F.col("level") == k).drop("level")
+        rows = _joined(passed, mine.select(*keys).distinct(), few, keys, "left_semi") if keys else passed
+        found = _joined(mine, _fit(rows, keys, few, store), few, keys)
+        final = found if final is None else final.unionByName(found)
     vectors = stats.select("*", *[v.alias(x) for v, x in zip(vector(), X, strict=True)])
-    scored = _distance(_joined(vectors, final, few))
+    scored = _distance(_joined(vectors, final, few, GROUP))
     return scored.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (F.col("d2") / F.col("spread")).alias("distance"),
