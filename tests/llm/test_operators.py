@@ -398,6 +398,25 @@ def test_html_blocks_and_text(spark):
     assert op8.extract(df.limit(0)).count() == 0
 
 
+def test_html_left_out_end_tags():
+    shown = lambda page: [b.text for b in op8.blocks(page)]
+    body = "<article><h1>A title</h1><p>Some words stand here.<p>More of them.</article>"
+    want = ["A title", "Some words stand here.", "More of them."]
+    weights, moves = op8.model()
+    for top in ("<html><head><title>T</title><meta charset=utf-8>{}", "<head><title>T</title><style>p{{}}</style><link href=x><body>{}</html>", "<head>\n<script>x</script>\n</head><body>{}</body>", "<HEAD><noscript>n</noscript>{}"):
+        assert shown(top.format(body)) == want, top
+        assert op8.main_text(top.format(body), weights, moves) == "\n\n".join(want)
+    assert shown("<head><title>T</title>Bare text <a href=x>here</a><p>B") == ["Bare text here", "B"]
+    assert shown("<head><title>T</title><a href=x>Here</a>") == ["Here"]
+    for tag in ("svg", "select", "object", "iframe", "canvas", "audio", "video", "noscript", "template", "button"):
+        assert shown(f"<body><p>A</p><{tag} id=x>{body}") == ["A", *want], tag
+        assert shown(f"<p>A</p><{tag}>no</{tag}>{body}") == ["A", *want], tag
+    assert shown(f"<p>A</p><select><option>no<option>neither{body}") == ["A", *want]
+    for tag in ("script", "style", "textarea", "title"):
+        assert shown(f"<p>A</p><{tag}>{body}") == ["A"], tag
+    assert len(op8.blocks("<svg><button>" * 100_000 + "<p>A</p>")) == 1
+
+
 # Nearest neighbours.
 
 

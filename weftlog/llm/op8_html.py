@@ -1,7 +1,9 @@
 """Main text of HTML pages: a linear-chain conditional random field over the leaf blocks of the DOM.
 
 A page is read into its leaf blocks (text between block-level tags, in page order); scripts, styles, the head, comments
-and form controls are no text. Each block gets features of its ancestor tags, of cues in their class, id and role, and of
+and form controls are no text. A head without an end tag ends, as in HTML, at the first text or tag that can't stand in it,
+and of other unshown elements than scripts, styles and such an end tag that is missing loses no text: reading goes on
+after the start tag. Each block gets features of its ancestor tags, of cues in their class, id and role, and of
 its text (length, share of link text, marks, place in the page). The field tags blocks as content or not and is decoded
 by Viterbi; content blocks are decoded, blanks made one space, trimmed and joined by two line feeds.
 
@@ -34,11 +36,14 @@ BLOCK = frozenset(
 )
 #: Tags whose text is not shown (fixed values).
 SILENT = frozenset("script style noscript template head title textarea select option button iframe svg object canvas audio video".split())
+#: Tags that can stand in the head, and unshown elements that run to the end of the page if not closed (fixed values).
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+OPEN = frozenset("script style textarea title".split())
 #: Tags without content (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']|"[^"]*+"|'[^']*+')*+)>""", re.DOTALL)
 _NAMED = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "svg", "template", "select", "object", "canvas", "audio", "video")}
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "svg", "template", "select", "object", "canvas", "audio", "video", "button")}
 
 
 class Block:
@@ -53,6 +58,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
+    ends: dict[str, re.Match | None] = {}
     links = linked = silent = 0
 
     def close() -> None:
@@ -65,6 +71,8 @@ def blocks(page: str) -> list[Block]:
 
     def say(raw: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and not raw.isspace() and raw:
+            leave(len(stack) - 1)
         if raw and not silent:
             text = entities.unescape(raw)
             parts.append(text)
@@ -78,6 +86,12 @@ def blocks(page: str) -> list[Block]:
             silent -= tag in SILENT
         del stack[depth:]
 
+    def end_of(tag: str, at: int) -> re.Match | None:
+        """The next end tag; each stretch of the page is searched once."""
+        if tag not in ends or ends[tag] and ends[tag].start() < at:
+            ends[tag] = _RAW_END[tag].search(page, at)
+        return ends[tag]
+
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -89,6 +103,8 @@ def blocks(page: str) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if not m[1] and tag not in HEAD and stack and stack[-1][0] == "head":
+            leave(len(stack) - 1)
         if tag in BLOCK:
             close()
         elif tag == "br":
@@ -101,6 +117,8 @@ def blocks(page: str) -> list[Block]:
                 if stack[i][0] in ("article", "body", "main") and tag not in ("body", "html", "article", "main"):
                     break
             continue
+        if tag in BLOCK and stack and stack[-1][0] == "option":
+            leave(len(stack) - 1)
         if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option") or tag in BLOCK:
             # An open paragraph ends before any block; an open item before the next one.
             for i in range(len(stack) - 1, -1, -1):
@@ -112,9 +130,13 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         if tag in _RAW_END:
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else n
-            continue
+            end = end_of(tag, at)
+            if end is None:
+                at = n if tag in OPEN else at
+                continue
+            if tag != "button":
+                at = end.end()
+                continue
         names = " ".join(v.strip("\"'") for _, v in _NAMED.findall(m[3])).lower() if m[3] else ""
         stack.append((tag, names))
         links += tag == "a"
