@@ -40,3 +40,11 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_probe_window_growth_imports_every_event(spark, monkeypatch):
+    made = []
+    plain = catalogue._Log
+    monkeypatch.setattr(catalogue, "_Log", lambda *args: made.append(plain(*args)) or made[-1])
+    assert [tuple(r) for r in catalogue.QUERIES["probe_window_growth"](spark, DATA).collect()] == [(1, 7, 8), (2, 10, 16)]
+    assert made[0].scan().count() == spark.read.parquet(f"{DATA}/events.parquet").count()

@@ -394,7 +394,7 @@ def manifest_files(spark, sf_dir):
 def probe_window_growth(spark, sf_dir):
     log = _Log(spark, sf_dir)
     for i in range(10):
-        log.add(i, 1000, DEFERRED)
+        log.add(i, 10, DEFERRED)
     out = []
     for i in (1, 2):
         window = log.table.window
