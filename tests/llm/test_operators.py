@@ -112,6 +112,38 @@ def test_jaccard_repeats_and_empty(spark):
     assert op1.link(documents(spark, [])).count() == 0
 
 
+def test_jaccard_splits_large_buckets(spark):
+    """Buckets of more than `hot` nodes are split by further partitions without losing a link."""
+    r = random.Random(31)
+    shared = " ".join(f"s{i}" for i in range(30))
+    own = lambda: " ".join(f"w{r.randint(0, 5000)}" for _ in range(r.choice([20, 40, 60])))
+    texts = [f"{shared} {own()}" for _ in range(150)]
+    texts += [t + " more" for t in texts[:40]] + [t[2:] for t in texts[:20]] + near_copies(5, groups=6, copies=30)
+    df = documents(spark, texts)
+    want = {d: c for d, (_, c) in jaccard_groups(list(enumerate(texts))).items()}
+    for hot in (4,):
+        rows = op1.classes(df, 4, 85, hot).collect()
+        least = {}
+        for x in rows:
+            least[x.comp] = min(least.get(x.comp, x.doc_id), x.doc_id)
+        assert {x.doc_id: least[x.comp] for x in rows} == want
+
+
+def test_first_of_groups_by_row(spark):
+    """One id may stand for several texts; ids may be null; rows may repeat."""
+    a, b, c = ("x y z u v w p q", "one two three four five six seven", "far away from all of the others here")
+    df = documents(spark, [a, a, b, a, a, c, c, None, None, ""], ids=[3, 5, 5, None, None, None, None, 8, 8, None], langs=["en", "de"])
+    kept = op1.first_of_groups(df, 5, 80)
+    assert kept.columns == df.columns
+    want = [(3, a), (5, b), (8, None), (8, None), (None, ""), (None, c)]
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted(want, key=str)
+    assert op1.first_of_groups(documents(spark, [])).count() == 0
+    # Similar texts of one id: one stays.
+    words = [f"w{i}" for i in range(40)]
+    kept = op1.first_of_groups(documents(spark, [" ".join(words), " ".join(words[1:]), a], ids=[7, 7, 7])).collect()
+    assert len(kept) == 2 and a in {x.text for x in kept}
+
+
 # Suffix deduplication.
 
 
@@ -188,6 +220,9 @@ def test_mixing(spark):
     for s, xs in by.items():
         assert xs[0].source_size == size[s] and abs(xs[0].target - target[s]) < 1e-6 * total
         assert abs(sum(x.taken for x in xs) - target[s]) <= 1
+    # Rows that repeat stand at one place: each gets the largest share of them.
+    twice = op3.mixed(documents(spark, ["a b c", "a b c", "d e", None], ids=[1, 1, None, 2], sources=["s"])).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in twice) == [(0, "d e"), (1, "a b c"), (1, "a b c")]
     out = op3.mixed(df).collect()
     words = Counter()
     for x in out:

@@ -11,13 +11,18 @@ fewest expected keys for which the allotment falls short in at most one of `SHOR
 falls short also indexes its empty segments, so no similar pair is ever missed: such a pair meets in a key unless one of
 the two is not short, and then that one's allotment finds it.
 
-Links without pairs: in each bucket (key) all nodes are compared with one pivot only; the linked ones are one component,
-and buckets within one component are done. A few rounds with other pivots leave the nodes outside their bucket's largest
-component; those are compared with the rest of the bucket. A parity sketch (each shingle flips one of `BITS` bits) bounds
-the symmetric difference from below without error, so what reaches the exact test, on the sets themselves, is nearly all similar.
-
-Null or blank text has an empty set and is linked with nothing; rows of one id are rows of their own; ties of ids share a
-component's smallest; null ids are allowed; an empty table gives no rows; further columns are ignored.
+Links without pairs: of buckets (keys) that hold the same nodes one is kept. In each bucket all nodes are compared with one
+pivot only; the linked ones are one component, and buckets within one component are done. `ROUNDS` rounds with other pivots
+leave the nodes outside their bucket's largest component; those are compared with the rest of the bucket. Before that, a
+bucket of more than `HOT` nodes (a passage that very many documents share) is split by the keys of a second, independent
+partition of the universe, and what is still large by those of a third: similar sets share a key in each, so no pair is
+lost, and unlike sets seldom meet twice. A parity sketch (each shingle flips one of `BITS` bits) bounds the symmetric
+difference from below without error, so what reaches the exact test, on the sets themselves, is nearly all similar; only
+the sets of such pairs are moved.
+
+Null or blank text has an empty set and is linked with nothing; rows of one id are rows of their own, with the component
+of their own text; ties of ids share a component's smallest; null ids are allowed, and a component's smallest is null only
+if all its ids are; very long texts are read whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from weftlog.llm.common import Written, mix, shingles, slices, small_batches, ta
 WORDS, PERCENT = 4, 85
 FIRST, RATIO, SHORT = 6, 1.25, 1000
 BITS = 1024
-ROUNDS = 3
+ROUNDS, HOT, SPLITS = 2, 256, 2
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -74,8 +79,11 @@ def allotment(low: int, high: int, percent: int) -> tuple[int, int, int]:
     return apart, best[1], best[2]
 
 
-def keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """All keys of a set, of its own band and of the one below where it can be the larger partner."""
+def keys(tokens: np.ndarray, percent: int, universe: int = 0) -> np.ndarray:
+    """All keys of a set, of its own band and of the one below where it can be the larger partner; `universe` numbers independent partitions."""
+    if universe:
+        with np.errstate(over="ignore"):
+            tokens = mix(tokens + np.uint64(universe) * _C3)
     n, edges = len(tokens), bands(percent)
     own = int(np.searchsorted(edges, n, "right")) - 1
     if own < 0:
@@ -133,14 +141,14 @@ def _summaries(words):
         for batch, sets in _sets(batches, words):
             filled = [bool(len(s)) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if f else None for s, f in zip(sets, filled, strict=True)], pa.int64()), pa.array([sketch(s) if f else None for s, f in zip(sets, filled, strict=True)], pa.list_(pa.int64()))],
-                names=["doc_id", "n", "node", "sketch"],
+                [batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if f else None for s, f in zip(sets, filled, strict=True)], pa.int64()), pa.array([sketch(s) if f else None for s, f in zip(sets, filled, strict=True)], pa.list_(pa.int64()))],
+                names=["doc_id", "h", "n", "node", "sketch"],
             )
 
     return run
 
 
-def _entries(words, percent):
+def _entries(words, percent, universe=0):
     def run(batches):
         seen: set[int] = set()  # a copy within a task adds nothing
         for _, sets in _sets(batches, words):
@@ -150,7 +158,7 @@ def _entries(words, percent):
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(node)
-                    found.append(keys(s, percent))
+                    found.append(keys(s, percent, universe))
                     nodes.append(np.full(len(found[-1]), node, np.int64))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
@@ -185,9 +193,9 @@ def shared_rows(batches):
 def _arrays(words):
     def run(batches):
         for batch, sets in _sets(batches, words):
-            # A repeated id may come with another text.
-            kept = [(node, s.view(np.int64)) for node, s in zip(batch.column("node").to_pylist(), sets, strict=True) if len(s) and fingerprint(s) == node]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.list_(pa.int64()))], names=["node", "items"])
+            # Two texts may share a fingerprint.
+            kept = {node: s.view(np.int64) for node, s in zip(batch.column("node").to_pylist(), sets, strict=True) if len(s) and fingerprint(s) == node}
+            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int64()), pa.array(list(kept.values()), pa.list_(pa.int64()))], names=["node", "items"])
 
     return run
 
@@ -235,34 +243,60 @@ def _rest(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return x.join(y, (F.col("key") == F.col("b_key")) & (F.col("a_comp") != F.col("b_comp")) & once & _near(percent)).select("a", "b").distinct()
 
 
-def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
+def distinct_buckets(buckets: DataFrame) -> DataFrame:
+    """One of the buckets (key, node, ...) that hold the same nodes."""
+    marks = buckets.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("m"))
+    return buckets.join(marks.groupBy("x", "y", "m").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def classes(docs: DataFrame, words: int, percent: int, hot: int = HOT) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, h (the text's fingerprint), n (set size), comp (the component; null for an empty set)."""
     spark = docs.sparkSession
     small_batches(spark)
     store = Written(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = store.write(rows.mapInArrow(_summaries(words), "doc_id long, n long, node long, sketch array<bigint>"), "sets")
+    text = F.col("text").cast("string").alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text)
+    sets = store.write(rows.mapInArrow(_summaries(words), "doc_id long, h long, n long, node long, sketch array<bigint>"), "sets")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = rows.mapInArrow(_entries(words, percent), "key long, node long")
-    buckets = store.write(entries.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(shared_rows, "key long, node long"), "buckets")
 
-    # What the tests of a node need: its size and sketch, and its set.
+    def buckets_of(entries: DataFrame, name: str) -> DataFrame:
+        shared = store.write(entries.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(shared_rows, "key long, node long"), name)
+        kept = store.write(distinct_buckets(shared), f"{name}-distinct")
+        store.drop(shared)
+        return kept
+
+    buckets = buckets_of(rows.select("text").mapInArrow(_entries(words, percent), "key long, node long"), "buckets")
+    # What the tests of a node need: its size and sketch, and one of its texts.
     taking = buckets.select("node").distinct()
-    nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = store.write(nodes.join(taking, "node").select("node", "doc_id", "n", F.col("sketch").alias("sk")), "nodes")
-    owners = nodes.select("node", F.col("doc_id").alias("owner"))
-    held = rows.join(owners, rows["doc_id"].eqNullSafe(owners["owner"])).select("node", "text")
-    arrays = store.write(held.mapInArrow(_arrays(words), "node long, items array<bigint>"), "arrays")
+    nodes = sets.join(taking, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("of"), F.first("n").alias("n"), F.first("sketch").alias("sk"))
+    nodes = store.write(nodes.select("node", "of.doc_id", "of.h", "n", "sk"), "nodes")
+
+    def held(some: DataFrame) -> DataFrame:
+        """node, text of some nodes."""
+        of = nodes.join(some, "node", "left_semi").select("node", F.col("doc_id").alias("of_id"), F.col("h").alias("of_h"))
+        return rows.join(of, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h"))).select("node", "text")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) of distinct nodes whose sets are similar."""
         side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sk").alias(f"{c}_sk"))
-        left = pairs.join(side("a"), "a").join(side("b"), "b").where(_near(percent)).select("a", "b", "a_n", "b_n")
-        near = store.write(left, "near")
+        near = store.write(pairs.join(side("a"), "a").join(side("b"), "b").where(_near(percent)).select("a", "b", "a_n", "b_n"), "near")
+        asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        arrays = store.write(held(asked).mapInArrow(_arrays(words), "node long, items array<bigint>").dropDuplicates(["node"]), "arrays")
         first = near.join(arrays.select(F.col("node").alias("a"), F.col("items").alias("a_items")), "a")
         both = first.join(arrays.select(F.col("node").alias("b"), F.col("items").alias("b_items")), "b")
-        found = both.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_items", "b_items")).alias("both")).where(similar(percent)).select("a", "b").distinct()
-        return store.write(found, name)
+        found = both.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_items", "b_items")).alias("both")).where(similar(percent)).select("a", "b")
+        found = store.write(found, name)
+        store.drop(near)
+        store.drop(arrays)
+        return found
+
+    def unsettled(members: DataFrame, comp: DataFrame, name: str) -> DataFrame:
+        """The buckets of members (key, node) with two components or more: key, node, comp."""
+        named = store.write(members.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
+        keys_ = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") != F.col("y")).select("key")
+        left = store.write(named.join(keys_, "key", "left_semi"), name)
+        store.drop(named)
+        return left
 
     edges: DataFrame | None = None
     comp: DataFrame | None = None
@@ -274,28 +308,60 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         found = confirmed(pairs, f"links{turn}")
         edges = found if edges is None else edges.unionByName(found)
         comp = components(edges, store)
-        named = open_.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        named = store.write(named, f"named{turn}")
-        unsettled = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where(F.col("x") != F.col("y")).select("key")
-        open_ = store.write(named.join(unsettled, "key"), f"open{turn}")
-        if not open_.limit(1).count():
+        before, open_ = open_, unsettled(open_, comp, f"open{turn}")
+        store.drop(before)
+        if open_.isEmpty():
             break
     else:
+        for universe in range(1, SPLITS + 1):
+            large = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("key")
+            large = store.write(open_.join(large, "key", "left_semi"), "large")
+            if large.isEmpty():
+                break
+            again = held(large.select("node").distinct()).mapInArrow(_entries(words, percent, universe), "key long, node long").distinct().withColumnRenamed("key", "other")
+            split = large.select("key", "node").join(again, "node").select(F.xxhash64("key", "other").alias("key"), "node")
+            split = unsettled(buckets_of(split, f"split{universe}"), comp, f"apart{universe}")
+            before = open_
+            open_ = store.write(open_.join(large.select("key").distinct(), "key", "left_anti").unionByName(split.select(*open_.columns)), f"finer{universe}")
+            for df in (before, large, split):
+                store.drop(df)
         comp = components(edges.unionByName(confirmed(_rest(open_, nodes, percent), "links")), store)
+        store.drop(open_)
+    store.drop(nodes)
+    return sets.select("doc_id", "h", "n", "node").join(comp, "node", "left").select("doc_id", "h", "n", F.coalesce("comp", "node").alias("comp"))
+
 
-    whole = sets.select("doc_id", "n", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
+    whole = classes(docs, words, percent)
     smallest = whole.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("doc_id").alias("least_id"))
     return whole.join(smallest, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least_id", "doc_id").alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, with all their columns, that have the smallest doc_id of their component; rows that repeat id and text stay once."""
+    """One row of each component, with all columns of docs: that of the smallest doc_id (null last), then of the text with the smallest fingerprint.
+
+    A row is told by its id and text, so one id may stand for several texts, which stay or go each by its own component.
+    Rows that repeat id and text are one (their other columns: the smallest). Texts without words all stay.
+    """
     store = Written(docs.sparkSession)
-    found = store.write(link(docs, words, percent), "links")
-    others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    again = docs.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).limit(1).count()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
+    found = store.write(classes(docs, words, percent), "classes").where(F.col("comp").isNotNull())
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    first = found.groupBy("comp").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+    first = store.write(first.select("comp", F.col("f.doc_id").alias("f_id"), F.col("f.h").alias("f_h")), "firsts")
+    is_first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h"))
+    members = found.join(first, "comp").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("m"), F.first(is_first).alias("stays"))
+    # What goes, and what stays once though it stands in several rows.
+    marked = store.write(members.where(~F.col("stays") | (F.col("m") > 1)).select(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h"), "stays"), "marked")
+    own = docs.select(*docs.columns)
+    same = own["doc_id"].cast("long").eqNullSafe(marked["m_id"]) & (F.xxhash64(own["text"].cast("string")) == marked["m_h"])
+    kept = own.join(marked, same, "left_anti")
+    again = marked.where("stays")
+    if again.isEmpty():
+        return kept
+    names = docs.columns
+    once = own.join(again, same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*[c for c in names if c not in ("doc_id", "text")])).alias("rest"))
+    return kept.unionByName(once.select(*[c if c in ("doc_id", "text") else F.col(f"rest.{c}").alias(c) for c in names]))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

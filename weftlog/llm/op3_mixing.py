@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from weftlog.llm.common import WORD, Written, count_words, small_batches, table
 
 CYCLE, MOST, SEED = 3, 3, "mix-1"
+#: A table of up to this many sources is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 20_000
 _WORD = re.compile(WORD)
 _RUN = "doc_id long, source string, size long, mix_key string, part int, before long"
 
@@ -71,21 +73,22 @@ def targets(sizes: DataFrame, most: int = MOST, cycle: int = CYCLE) -> DataFrame
     return leveled.withColumn("target", target).select("source", "source_size", "weight", "target", F.round("target").cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, size, source_size, target, taken, epochs (whole repeats), source."""
+def _key(seed: str):
+    """The hash-random key of a document."""
+    return F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 16)
+
+
+def _placed(docs: DataFrame, most: int, seed: str) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, source, size, mix_key, source_size, target, epochs (whole repeats), part (words taken beyond them)."""
     spark = docs.sparkSession
     small_batches(spark)
     store = Written(spark)
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        count_words(F.col("text")).alias("size"),
-        F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))), 1, 16).alias("mix_key"),
-    )
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"), _key(seed).alias("mix_key"))
     order = ["source", "mix_key", "doc_id", "size"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sized = store.write(sized, "sizes")  # else sampling for the ranges would count all words again
     runs = store.write(sized.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_running, _RUN), "runs")
+    store.drop(sized)
     parts = runs.groupBy("source", "part").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
@@ -93,11 +96,13 @@ def mix(docs: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
     named = parts.alias("p").join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.source", "p.part", "p.offset", "g.source_size", "g.target", "g.budget")
     placed = runs.alias("r").join(named.alias("n"), (F.col("r.part") == F.col("n.part")) & F.col("r.source").eqNullSafe(F.col("n.source")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
-    return (
-        placed.select("r.doc_id", "r.source", "r.size", "r.mix_key", (F.col("r.before") + F.col("n.offset")).alias("before"), "n.source_size", "n.target", "n.budget", epochs.alias("epochs"))
-        .withColumn("part_taken", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("before"))))
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs") + F.col("part_taken")).alias("taken"), "epochs", "source")
-    )
+    placed = placed.select("r.doc_id", "r.source", "r.size", "r.mix_key", (F.col("r.before") + F.col("n.offset")).alias("before"), "n.source_size", "n.target", "n.budget", epochs.alias("epochs"))
+    return placed.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("before"))))
+
+
+def mix(docs: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, size, source_size, target, taken, epochs (whole repeats), source."""
+    return _placed(docs, most, seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs") + F.col("part")).alias("taken"), "epochs", "source")
 
 
 def _repeat(batches):
@@ -117,13 +122,22 @@ def _repeat(batches):
 
 
 def mixed(docs: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """documents (doc_id, text, lang, source, n_chars) as the mix takes them: a row for each epoch; the row at a source's cut has its first words. Texts without words go."""
+    """documents (doc_id, text, lang, source, n_chars) as the mix takes them: a row for each epoch; the row at a source's cut has its first words. Texts without words go.
+
+    A source's cut is one place in its order of keys, so texts stay where they are: each row compares its own place with the
+    cut of its source. Rows of one id, source and size stand at one place and all get the largest share of them.
+    """
+    store = Written(docs.sparkSession)
     rows = docs.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))))
-    # Rows of one id, source and size share the larger of their shares.
-    shares = mix(rows, most, seed).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken")).where(F.col("taken") > 0).alias("m")
-    r = rows.withColumn("size", count_words(F.col("text"))).alias("r")
-    on = F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("r.source").eqNullSafe(F.col("m.source")) & (F.col("r.size") == F.col("m.size"))
-    return r.join(shares, on).select("r.*", "m.taken").mapInArrow(_repeat, rows.schema)
+    place = F.struct("mix_key", "doc_id", "size")
+    last = F.max(F.when(F.col("part") > 0, F.struct(place.alias("place"), "part")))
+    cuts = _placed(rows, most, seed).groupBy("source").agg(F.max("epochs").alias("epochs"), last.alias("cut"))
+    cuts = store.write(cuts.select(F.col("source").alias("of"), "epochs", F.col("cut.place").alias("cut"), F.col("cut.part").alias("part")), "cuts")
+    sized = rows.withColumn("size", count_words(F.col("text"))).withColumn("mix_key", _key(seed))
+    found = sized.join(F.broadcast(cuts) if cuts.count() <= BROADCAST_ROWS else cuts, F.col("source").eqNullSafe(F.col("of")))
+    own = F.when(place < F.col("cut"), F.col("size")).when(place.eqNullSafe(F.col("cut")), F.col("part")).otherwise(F.lit(0))
+    taken = found.select(*rows.columns, "size", (F.col("size") * F.col("epochs") + own).alias("taken"))
+    return taken.where(F.col("taken") > 0).mapInArrow(_repeat, rows.schema)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
