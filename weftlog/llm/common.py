@@ -57,6 +57,15 @@ class Written:
                 hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: A table of up to this many narrow rows (ids and fingerprints) is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(written: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most `most` of them."""
+    return F.broadcast(written) if written.count() <= most else written
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, nulls as empty; offsets has one more entry than rows."""
     if isinstance(column, pa.ChunkedArray):

@@ -16,9 +16,9 @@ pivot only; the linked ones are one component, and buckets within one component
 leave the nodes outside their bucket's largest component; those are compared with the rest of the bucket. Before that, a
 bucket of more than `HOT` nodes (a passage that very many documents share) is split by the keys of a second, independent
 partition of the universe, and what is still large by those of a third: similar sets share a key in each, so no pair is
-lost, and unlike sets seldom meet twice. A parity sketch (each shingle flips one of `BITS` bits) bounds the symmetric
-difference from below without error, so what reaches the exact test, on the sets themselves, is nearly all similar; only
-the sets of such pairs are moved.
+lost, and unlike sets seldom meet twice. A parity sketch (each shingle flips one of as many bits as the set has members,
+rounded up to a power of two, at least `BITS`) bounds the symmetric difference from below without error, so what reaches
+the exact test, on the sets themselves, is nearly all similar; only the sets of such pairs are moved.
 
 Null or blank text has an empty set and is linked with nothing; rows of one id are rows of their own, with the component
 of their own text; ties of ids share a component's smallest; null ids are allowed, and a component's smallest is null only
@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import Written, mix, shingles, slices, small_batches, table, text_buffers, word_hashes
+from weftlog.llm.common import Written, if_small, mix, shingles, slices, small_batches, table, text_buffers, word_hashes
 
 WORDS, PERCENT = 4, 85
 FIRST, RATIO, SHORT = 6, 1.25, 1000
 BITS = 1024
-ROUNDS, HOT, SPLITS = 2, 256, 2
+ROUNDS, HOT, SPLITS = 2, 4096, 2
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -117,8 +117,9 @@ def keys(tokens: np.ndarray, percent: int, universe: int = 0) -> np.ndarray:
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the shingles that fall on each bit: two sketches differ in no more bits than the sets in shingles."""
-    return np.packbits((np.bincount((mix(tokens ^ _C3) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+    """Parity of the shingles that fall on each bit: two sketches differ in no more bits than the sets in shingles. The halves of a sketch, one on the other, are the next smaller one."""
+    bits = max(BITS, 1 << (len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((mix(tokens ^ _C3) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def fingerprint(tokens: np.ndarray) -> int:
@@ -207,8 +208,14 @@ def similar(percent: int):
 
 def _near(percent: int):
     """Whether sizes and sketches allow that a and b are similar: |a - b| * (100 + percent) <= (100 - percent) * (|a| + |b|)."""
-    bits = F.expr(" + ".join(f"bit_count(a_sk[{i}] ^ b_sk[{i}])" for i in range(BITS // 64)))
-    return (F.greatest(bits, F.abs(F.col("a_n") - F.col("b_n"))) * (100 + percent)) <= (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    least = " + ".join(f"bit_count(a_sk[{i}] ^ b_sk[{i}])" for i in range(BITS // 64))
+    # Sizes of similar sets differ by less than half, so one sketch is twice the other at most.
+    folded = lambda x, y: f"CASE WHEN size({x}) > size({y}) THEN transform({y}, (v, i) -> {x}[i] ^ {x}[i + size({y})]) ELSE {x} END"
+    larger = f"aggregate(zip_with({folded('a_sk', 'b_sk')}, {folded('b_sk', 'a_sk')}, (v, w) -> bit_count(v ^ w)), 0, (s, v) -> s + v)"
+    apart = F.abs(F.col("a_n") - F.col("b_n"))
+    total = (100 - percent) * (F.col("a_n") + F.col("b_n"))
+    bits = F.expr(f"CASE WHEN size(a_sk) = {BITS // 64} AND size(b_sk) = {BITS // 64} THEN {least} ELSE {larger} END")
+    return F.when(apart * (100 + percent) <= total, bits * (100 + percent) <= total).otherwise(False)
 
 
 def components(edges: DataFrame, store: Written) -> DataFrame:
@@ -257,6 +264,7 @@ def classes(docs: DataFrame, words: int, percent: int, hot: int = HOT) -> DataFr
     text = F.col("text").cast("string").alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text)
     sets = store.write(rows.mapInArrow(_summaries(words), "doc_id long, h long, n long, node long, sketch array<bigint>"), "sets")
+    repeats = not sets.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).isEmpty()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def buckets_of(entries: DataFrame, name: str) -> DataFrame:
@@ -274,14 +282,15 @@ def classes(docs: DataFrame, words: int, percent: int, hot: int = HOT) -> DataFr
     def held(some: DataFrame) -> DataFrame:
         """node, text of some nodes."""
         of = nodes.join(some, "node", "left_semi").select("node", F.col("doc_id").alias("of_id"), F.col("h").alias("of_h"))
-        return rows.join(of, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h"))).select("node", "text")
+        return rows.join(if_small(store.write(of, "held")), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h"))).select("node", "text")  # rows that repeat come more than once
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) of distinct nodes whose sets are similar."""
         side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sk").alias(f"{c}_sk"))
         near = store.write(pairs.join(side("a"), "a").join(side("b"), "b").where(_near(percent)).select("a", "b", "a_n", "b_n"), "near")
         asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        arrays = store.write(held(asked).mapInArrow(_arrays(words), "node long, items array<bigint>").dropDuplicates(["node"]), "arrays")
+        arrays = held(asked).mapInArrow(_arrays(words), "node long, items array<bigint>")
+        arrays = store.write(arrays.dropDuplicates(["node"]) if repeats else arrays, "arrays")
         first = near.join(arrays.select(F.col("node").alias("a"), F.col("items").alias("a_items")), "a")
         both = first.join(arrays.select(F.col("node").alias("b"), F.col("items").alias("b_items")), "b")
         found = both.select("a", "b", "a_n", "b_n", F.size(F.array_intersect("a_items", "b_items")).alias("both")).where(similar(percent)).select("a", "b")
@@ -355,12 +364,12 @@ def first_of_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     marked = store.write(members.where(~F.col("stays") | (F.col("m") > 1)).select(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h"), "stays"), "marked")
     own = docs.select(*docs.columns)
     same = own["doc_id"].cast("long").eqNullSafe(marked["m_id"]) & (F.xxhash64(own["text"].cast("string")) == marked["m_h"])
-    kept = own.join(marked, same, "left_anti")
+    kept = own.join(if_small(marked), same, "left_anti")
     again = marked.where("stays")
     if again.isEmpty():
         return kept
     names = docs.columns
-    once = own.join(again, same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*[c for c in names if c not in ("doc_id", "text")])).alias("rest"))
+    once = own.join(if_small(again), same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*[c for c in names if c not in ("doc_id", "text")])).alias("rest"))
     return kept.unionByName(once.select(*[c if c in ("doc_id", "text") else F.col(f"rest.{c}").alias(c) for c in names]))
 
 
