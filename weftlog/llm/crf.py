@@ -6,7 +6,9 @@ from typing import NamedTuple
 
 import numpy as np
 
-_NEVER = -1e4
+NEVER = -1e4
+#: Steps of a block in best_paths().
+BLOCK = 128
 
 
 class Moves(NamedTuple):
@@ -20,8 +22,8 @@ def forbidden(tags: int, moves: list[tuple[int, int]] = (), begins: list[int] =
     """Moves that score 0, but never those given."""
     move, begin = np.zeros((tags, tags)), np.zeros(tags)
     for a, b in moves:
-        move[a, b] = _NEVER
-    begin[list(begins)] = _NEVER
+        move[a, b] = NEVER
+    begin[list(begins)] = NEVER
     return Moves(move, begin)
 
 
@@ -75,3 +77,35 @@ def viterbi(unary: np.ndarray, moves: Moves) -> list[int]:
         tag = int(row[tag])
         path.append(tag)
     return path[::-1]
+
+
+def best_paths(unary: np.ndarray, moves: Moves) -> np.ndarray:
+    """viterbi() over a long row of tokens that begins with one tagged 0, by blocks: all blocks at a time, for each tag before them."""
+    n, k = unary.shape
+    m = -(-n // BLOCK)
+    padded = np.full((m * BLOCK, k), NEVER)
+    padded[:, 0] = 0
+    padded[:n] = unary
+    steps = padded.reshape(m, BLOCK, k)
+    back = np.empty((BLOCK, m, k, k), np.uint8)  # step, block, tag before the block, tag -> tag of the step before
+    best = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)[None].repeat(m, 0)
+    for t in range(BLOCK):
+        every = best[:, :, :, None] + moves.move
+        back[t] = every.argmax(2)
+        best = every.max(2) + steps[:, t, None, :]
+    # Chain the blocks: scores of the tags after each one, and from which tag before it they come.
+    score, source = np.where(np.arange(k) == 0, 0.0, NEVER), np.empty((m, k), np.int64)
+    for i in range(m):
+        every = score[:, None] + best[i]
+        source[i] = every.argmax(0)
+        score = every.max(0) - every.max()
+    last, first = np.empty(m, np.int64), np.empty(m, np.int64)
+    tag = int(score.argmax())
+    for i in range(m - 1, -1, -1):
+        last[i] = tag
+        first[i] = tag = int(source[i, tag])
+    out, rows, now = np.empty((m, BLOCK), np.int64), np.arange(m), last
+    for t in range(BLOCK - 1, -1, -1):
+        out[:, t] = now
+        now = back[t, rows, first, now].astype(np.int64)
+    return out.reshape(-1)[:n]
