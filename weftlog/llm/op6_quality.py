@@ -1,30 +1,42 @@
 """Quality rules: text statistics, plain rules, and robust multivariate outliers for each language and source.
 
-Everything is DataFrame and SQL functions. The statistics of a text become a vector of transformed rates; for each
-(language, source) the minimum covariance determinant estimate of centre and scatter is found by concentration steps:
-from medians and quartile ranges, keep the share `H` of documents with the smallest Mahalanobis distances, re-estimate
-from those, repeat. A document farther than `CUTOFF` is rejected. A group with fewer than `LEAST` documents that pass the
-plain rules is judged by the same estimate of its language, and where that has too few as well, of all documents. Every step is one partial aggregation over the vectors,
-so a group that holds a third of all rows is summed where its rows lie.
-
-Null text has no words and fails; a null language or source is a group of its own; the distance is null only if no
-document at all passes the plain rules; repeated rows count each; an empty table gives no rows.
+Everything is DataFrame and SQL functions. The statistics of a text become a vector of transformed rates. For each
+(language, source), each language, and all documents, the minimum covariance determinant estimate of centre and scatter is
+searched: from `STARTS` starts (medians with quartile ranges; the scatter of a few documents picked by hash), concentration
+steps keep the share `H` of documents with the smallest Mahalanobis distances and re-estimate from those; after `FIRST`
+steps the start with the smallest determinant goes on for at most `STEPS` more, until the determinant falls no further. A
+scatter is multiplied by the factor that makes it consistent at the normal distribution.
+
+Texts hardly ever repeat lines or hold signs, so the scatter of most documents is singular; `FLOORS` (a standard deviation
+for each statistic, as a target that is added, in the search as well) keep it regular and say how far a statistic that
+doesn't vary may go.
+
+The estimate of a small group is shrunk towards its language's, and that one towards all documents': with n documents it has
+the weight n / (n + `PRIOR`), at every size alike. A document is rejected if its squared distance is beyond the chi-squared
+quantile `LEVEL`. Every step is one partial aggregation over the vectors, so a group that holds a third of all rows is
+summed where its rows lie.
+
+Null text has no words and fails; a null language or source is one of its own; the distance is null only if no document at
+all passes the plain rules; repeated rows count each; ties of distances are kept or left together; very long texts are read
+whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlog.llm.common import Written, table
 
 WS = r"[\x20\x09-\x0D]+"
-#: Share of a group that concentration keeps, steps, squared distance that rejects, smallest group with an estimate of its own.
-H, STEPS, CUTOFF, LEAST = 0.75, 3, 60.0, 50
-#: Least standard deviation of each transformed statistic, so that one that hardly varies can't reject alone.
-FLOORS = [1.5, 0.15, 0.6, 0.6, 0.6]
-#: Median of a chi-squared variable of 5 degrees (fixed value), for consistency at the normal distribution.
-MEDIAN = 4.3515
+#: Share of a group that concentration keeps, starts, steps of all starts and of the best one, weight of what a group is shrunk to, chi-squared level that rejects.
+H, STARTS, FIRST, STEPS, PRIOR, LEVEL = 0.75, 4, 2, 4, 50, 0.999
+#: Standard deviation of the target of each statistic.
+FLOORS = [0.1, 0.05, 0.5, 0.5, 1.0]
+#: Documents that a random start is made of, about.
+PICKED = 12
 #: A group table of up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
 
@@ -53,52 +65,52 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def vector() -> list[Column]:
+    """Length (beyond the least one, twice logarithmic: long texts are no outliers), word length, and signs, repeated lines and repeated words for 100 words."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     rate = lambda c: F.log1p(100.0 * F.col(c) / n)
-    return [F.log1p("n_words"), F.log((F.col("word_chars") + 1.0) / n), rate("n_symbols"), rate("n_dup_lines"), rate("n_repeat_words")]
+    return [F.log1p(F.log(F.greatest(n, F.lit(50)) / 50.0)), F.log((F.col("word_chars") + 1.0) / n), rate("n_symbols"), rate("n_dup_lines"), rate("n_repeat_words")]
 
 
 D = len(FLOORS)
-X, GROUP = [f"x{i}" for i in range(D)], ["lang", "source"]
-#: What estimates are made of: the group; too small, its language; too small, all documents.
-LEVELS = [GROUP, ["lang"], []]
+X, M = [f"x{i}" for i in range(D)], [f"m{i}" for i in range(D)]
+C = [f"c_{i}_{j}" for i in range(D) for j in range(i + 1)]
+L = [f"l_{i}_{j}" for i in range(D) for j in range(i + 1)]
 
 
-def _cholesky(cov: dict[tuple[int, int], Column]) -> list[tuple[str, Column]]:
-    """Columns l_i_j (lower triangle) of the factor, each made of those before it."""
-    out: list[tuple[str, Column]] = []
-    for j in range(D):
-        for i in range(j, D):
-            rest = cov[i, j]
-            for k in range(j):
-                rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out.append((f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}")))
-    return out
+def chi2(x: float, k: int) -> float:
+    """Chi-squared distribution function of an odd number k of degrees."""
+    term, total = math.sqrt(2 * x / math.pi) * math.exp(-x / 2), 0.0
+    for j in range(3, k + 2, 2):
+        total += term
+        term *= x / j
+    return math.erf(math.sqrt(x / 2)) - total
 
 
-def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and factor of the covariance (with the floors on its diagonal) of each group."""
-    sums = rows.groupBy(*keys).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(X)], *[F.covar_pop(X[i], X[j]).alias(f"c_{i}_{j}") for i in range(D) for j in range(i + 1)])
-    cov = {(i, j): F.col(f"c_{i}_{j}") + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(D) for j in range(i + 1)}
-    for name, value in _cholesky(cov):
-        sums = sums.withColumn(name, value)
-    return sums.select(*keys, *[f"m{i}" for i in range(D)], *[f"l_{i}_{j}" for i in range(D) for j in range(i + 1)])
+def quantile(p: float, k: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2(middle, k) < p else (low, middle)
+    return high
 
 
-def _start(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Medians, and quartile ranges as independent deviations."""
-    found = rows.groupBy(*keys).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(X)])
-    scale = {i: F.sqrt(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + FLOORS[i] ** 2) for i in range(D)}
-    return found.select(*keys, *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)], *[(scale[i] if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(D) for j in range(i + 1)])
+#: Factor of the scatter of the share H; squared distance that rejects.
+CONSISTENT, CUTOFF = H / chi2(quantile(H, D), D + 2), quantile(LEVEL, D)
 
 
-def _joined(rows: DataFrame, right: DataFrame, few: bool, keys: list[str], how: str = "left") -> DataFrame:
-    """rows with what right has for their keys (null equals null; without keys, right is one row)."""
-    if not keys:
-        return rows.crossJoin(F.broadcast(right))
-    right = right.withColumnsRenamed({c: f"g_{c}" for c in keys})
-    on = [rows[c].eqNullSafe(right[f"g_{c}"]) for c in keys]
-    return rows.join(F.broadcast(right) if few else right, on, how).drop(*[f"g_{c}" for c in keys])
+def _cholesky(rows: DataFrame) -> DataFrame:
+    """rows with the factor (L) of scatter and target, and the logarithm of its determinant (ld)."""
+    for j in range(D):
+        for i in range(j, D):
+            rest = F.col(f"c_{i}_{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
+            for k in range(j):
+                rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+            rows = rows.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l_{j}_{j}"))
+    return rows.withColumn("ld", sum((F.log(f"l_{i}_{i}") for i in range(1, D)), F.log("l_0_0")))
+
+
+def _moments(factor: float) -> list[Column]:
+    return [*[F.avg(x).alias(m) for x, m in zip(X, M, strict=True)], *[(F.covar_pop(X[i], X[j]) * factor).alias(f"c_{i}_{j}") for i in range(D) for j in range(i + 1)]]
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -111,40 +123,77 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"z{i}") ** 2 for i in range(1, D)), F.col("z0") ** 2))
 
 
-def _fit(passed: DataFrame, keys: list[str], few: bool, store: Written) -> DataFrame:
-    """keys -> centre, factor and spread of the minimum covariance determinant estimate."""
-    model = store.write(_start(passed, keys), "start")
-    for step in range(STEPS):
-        near = _distance(_joined(passed, model, few, keys)).select(*keys, *X, "d2")
-        limits = near.groupBy(*keys).agg(F.percentile_approx("d2", H, 1000).alias("limit"))
-        near = _joined(near, limits, few, keys).where(F.col("d2") <= F.col("limit"))
-        model = store.write(_estimate(near, keys), f"step{step}")
-    spread = _distance(_joined(passed, model, few, keys)).groupBy(*keys).agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / MEDIAN, F.lit(1.0)).alias("spread"))
-    return _joined(model, spread, few, keys)
+def _joined(rows: DataFrame, right: DataFrame, few: bool, on: list[str], how: str = "inner") -> DataFrame:
+    return rows.join(F.broadcast(right) if few else right, on, how)
+
+
+def _starts(rows: DataFrame, counts: DataFrame, few: bool) -> DataFrame:
+    """g, start, M, C: medians with quartile ranges (start 0), and documents picked by hash."""
+    found = rows.groupBy("g").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(f"q{i}") for i, x in enumerate(X)])
+    middle = [F.col(f"q{i}")[1].alias(f"m{i}") for i in range(D)]
+    apart = [(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(D) for j in range(i + 1)]
+    out = found.select("g", F.lit(0).alias("start"), *middle, *apart)
+    some = _joined(rows, counts, few, ["g"]).withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(STARTS - 1))))
+    share = F.xxhash64("row", "start").cast("double") / 2.0**64 + 0.5
+    return out.unionByName(some.where(share * F.col("n") < PICKED).groupBy("g", "start").agg(*_moments(1.0)))
+
+
+def estimates(rows: DataFrame, store: Written) -> DataFrame:
+    """rows (g, row, X) -> g, n, M, C: the minimum covariance determinant estimate of each group g."""
+    counts = store.write(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "counts")
+    few = counts.count() * STARTS <= BROADCAST_ROWS
+
+    def step(model: DataFrame, name: str) -> DataFrame:
+        """The estimates of the share H of each group that is nearest by model (g, start, M, C)."""
+        near = _distance(_joined(rows, _cholesky(model).select("g", "start", *M, *L), few, ["g"])).select("g", "start", *X, "d2")
+        limits = near.groupBy("g", "start").agg(F.percentile_approx("d2", H, 10000).alias("limit"))
+        inner = _joined(near, limits, few, ["g", "start"]).where(F.col("d2") <= F.col("limit"))
+        return store.write(_cholesky(inner.groupBy("g", "start").agg(*_moments(CONSISTENT))).select("g", "start", *M, *C, "ld"), name)
+
+    model = store.write(_starts(rows, counts, few), "starts")
+    for k in range(FIRST):
+        model = step(model, f"first{k}")
+    model = model.groupBy("g").agg(F.min_by(F.struct("start", *M, *C, "ld"), F.struct("ld", "start")).alias("b")).select("g", "b.*")
+    model = store.write(model, "best")
+    for k in range(STEPS):
+        after = step(model, f"step{k}")
+        falls = after.select("g", F.col("ld").alias("now")).join(model.select("g", "ld"), "g").where(F.col("now") < F.col("ld") - 1e-3)
+        model = after
+        if falls.isEmpty():
+            break
+    return model.join(counts, "g").select("g", "n", *M, *C)
+
+
+def _key(level: int) -> Column:
+    """Number of the group of a row at a level: its language and source, its language, all."""
+    marks = [F.lit(level)]
+    for c in ("lang", "source")[: 2 - level]:
+        marks += [F.col(c).isNull(), F.col(c)]
+    return F.xxhash64(*marks)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang, source) -> statistics, base_failed, distance (squared), kept."""
     store = Written(docs.sparkSession)
     stats = store.write(statistics(docs), "statistics")
-    passed = stats.where(~F.col("base_failed")).select(*GROUP, *[v.alias(x) for v, x in zip(vector(), X, strict=True)])
-    groups = store.write(stats.groupBy(*GROUP).agg(F.count_if(~F.col("base_failed")).alias("n")), "groups")
-    few = groups.count() <= BROADCAST_ROWS
-    languages = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"))
-    level = F.when(F.col("n") >= LEAST, 0).when(F.col("lang_n") >= LEAST, 1).otherwise(2)
-    groups = store.write(_joined(groups, languages, few, ["lang"]).select(*GROUP, level.alias("level")), "levels")
-    final = None
-    for k in [r.level for r in groups.select("level").distinct().collect()] or [2]:
-        keys, mine = LEVELS[k], groups.where(F.col("level") == k).drop("level")
-        rows = _joined(passed, mine.select(*keys).distinct(), few, keys, "left_semi") if keys else passed
-        found = _joined(mine, _fit(rows, keys, few, store), few, keys)
-        final = found if final is None else final.unionByName(found)
-    vectors = stats.select("*", *[v.alias(x) for v, x in zip(vector(), X, strict=True)])
-    scored = _distance(_joined(vectors, final, few, GROUP))
+    passed = stats.where(~F.col("base_failed")).select(F.xxhash64("doc_id", "word_chars", "n_words", "n_repeat_words").alias("row"), F.array(*[_key(k) for k in range(3)]).alias("keys"), *[v.alias(x) for v, x in zip(vector(), X, strict=True)])
+    found = store.write(estimates(passed.select(F.explode("keys").alias("g"), "row", *X), store), "estimates")
+    groups = stats.select("lang", "source").distinct().select(*[_key(k).alias(f"g{k}") for k in range(3)])
+    # From all documents to the language to the group: each estimate is mixed with what is above it.
+    values = [*M, *C]
+    above = groups.join(found.withColumnsRenamed({v: f"up_{v}" for v in values}).select(F.col("g").alias("g2"), *[f"up_{v}" for v in values]), "g2")
+    for k in (1, 0):
+        own = F.coalesce(F.col("n") / (F.col("n") + PRIOR), F.lit(0.0))
+        mixed = [(own * F.coalesce(v, F.lit(0.0)) + (1 - own) * F.col(f"up_{v}")).alias(f"up_{v}") for v in values]
+        above = above.join(found.select(F.col("g").alias(f"g{k}"), "n", *values), f"g{k}", "left").select("g0", "g1", *mixed)
+    model = store.write(_cholesky(above.withColumnsRenamed({f"up_{v}": v for v in values})).select("g0", *M, *L), "model")
+    few = model.count() <= BROADCAST_ROWS
+    vectors = stats.select("*", _key(0).alias("g0"), *[v.alias(x) for v, x in zip(vector(), X, strict=True)])
+    scored = _distance(_joined(vectors, model, few, ["g0"], "left"))
     return scored.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (F.col("d2") / F.col("spread")).alias("distance"),
-        (~F.col("base_failed") & ~F.coalesce(F.col("d2") > CUTOFF * F.col("spread"), F.lit(False))).alias("kept"),
+        F.col("d2").alias("distance"),
+        (~F.col("base_failed") & ~F.coalesce(F.col("d2") > CUTOFF, F.lit(False))).alias("kept"),
     )
 
 
