@@ -1,20 +1,22 @@
 """Personal data: fixed patterns, then bootstrapped contextual extraction.
 
 Everything is DataFrame and SQL functions. The fixed patterns give the base spans of every whole text. They are the seeds
-of a bootstrap over identifier-like tokens (words with a run of four digits, or with an @):
+of a bootstrap over identifier-like tokens (words with a run of four digits or with an @, and three or more groups of digits):
 
-* an edge joins a token (the instance) to the words before it (the lexical pattern: the last one and the last two words
-  within the `CONTEXT` characters before the token, lower-cased, digits as 0);
+* an edge joins a token (the instance) to a lexical pattern: the last word or two before it, the first word or two behind
+  it, both neighbours, or one of them with the token's shape (runs of digits as 0, of letters as a); words are those within
+  `CONTEXT` characters, lower-cased, digits as 0;
 * an instance that holds a base span of a kind has confidence 1 for that kind;
 * a pattern's score for a kind is the mean confidence of its distinct instances, damped for few of them; an instance's
-  confidence is the noisy-or over its patterns that score at least `PATTERN`; both alternate for `ROUNDS` rounds;
+  confidence is the noisy-or over the best pattern before it, behind it and around it, of those that score at least
+  `PATTERN`; both alternate until nothing changes, at most `ROUNDS` times;
 * an unseen instance with confidence of at least `ACCEPT` becomes a span of that kind wherever it stands.
 
 Edges are aggregated to distinct (pattern, instance, kind) before they are joined, and patterns and instances are
 aggregated in parts, so frequent words or tokens meet as counts only.
 
 Null text is empty; repeated rows each give their row; ties of kinds go to the kind listed first; an empty table gives no
-rows; further columns are ignored. Regular expressions start at run beginnings (or where the last match ended) and use
+rows; further columns are ignored. Matches are collected in blocks, in linear time. Regular expressions start at run beginnings (or where the last match ended) and use
 possessive quantifiers, so that a very long run is read once; they match what the plain forms match.
 """
 
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from weftlog.llm.common import Written, table
 
 KINDS = ["email", "ip", "card", "phone"]
-CONTEXT, ROUNDS, PATTERN, ACCEPT, DAMP = 48, 2, 0.6, 0.9, 2.0
+CONTEXT, ROUNDS, PATTERN, ACCEPT, DAMP = 48, 8, 0.6, 0.9, 2.0
+#: Matches that are collected at a time.
+MATCHES = 256
 _MAIL = "[A-Za-z0-9._%+-]"
 #: Java patterns of the four kinds. Numbers of digits are part of those of cards and phones: a run with another number never matches, and no shorter part of it does.
 REGEX = {
@@ -48,14 +52,22 @@ _SPANS = "array<struct<s:int,k:int,e:int>>"
 
 
 def _walk(regex: str, keep: str, made: str, kind: str, text: str = "t") -> Column:
-    """Array of `made` for the matches x (x.t, from acc.pos + x.a to acc.pos + x.a + x.b) that `keep` holds for; places in code points."""
+    """Array of `made` for the matches x (x.t, from acc.pos + x.a to acc.pos + x.a + x.b) that `keep` holds for; places in code points.
+
+    x.g is what stands between the match before and this one, x.h what follows it; acc.tail the last CONTEXT characters up to the match before.
+    """
     r = regex.replace("\\", "\\\\").replace("'", "\\'")
     matches, gaps = f"regexp_extract_all({text}, '{r}', 0)", f"split({text}, '{r}', -1)"
-    return F.expr(
-        f"aggregate(zip_with({gaps}, {matches}, (g, m) -> named_struct('g', g, 'm', m)), CAST(struct(0 AS pos, array() AS got) AS struct<pos:int,got:array<{kind}>>),"
-        f" (acc, y) -> CASE WHEN y.m IS NULL THEN acc ELSE transform(array(struct(y.g AS g, length(y.g) AS a, length(y.m) AS b, y.m AS t)), x -> struct(acc.pos + x.a + x.b AS pos,"
-        f" CASE WHEN {keep} THEN array_append(acc.got, {made}) ELSE acc.got END AS got))[0] END, acc -> acc.got)"
-    )
+    following = "concat(get(p.gaps, i + 1), coalesce(get(p.found, i + 1), ''), coalesce(get(p.gaps, i + 2), ''))"
+    one = f"named_struct('t', get(p.found, i), 'g', get(p.gaps, i), 'h', left({following}, {CONTEXT}), 'a', length(get(p.gaps, i)), 'b', length(get(p.found, i)))"
+    tail = f"right(concat(acc.tail, x.g, x.t), {CONTEXT})"
+    step = f"(acc, x) -> named_struct('pos', acc.pos + x.a + x.b, 'tail', {tail}, 'got', CASE WHEN {keep} THEN array_append(acc.got, {made}) ELSE acc.got END)"
+    state = lambda pos, end, got, of: f"CAST(named_struct('pos', {pos}, 'tail', {end}, 'got', {got}) AS struct<pos:int,tail:string,got:array<{of}>>)"
+    block = f"transform(sequence(k, least(k + {MATCHES}, size(p.found)) - 1), i -> {one})"
+    inner = f"aggregate({block}, {state('all.pos', 'all.tail', 'array()', kind)}, {step})"
+    outer = f"(all, k) -> transform(array({inner}), y -> named_struct('pos', y.pos, 'tail', y.tail, 'got', array_append(all.got, y.got)))[0]"
+    blocks = f"aggregate(sequence(0, size(p.found) - 1, {MATCHES}), {state('0', "''", 'array()', f'array<{kind}>')}, {outer}, all -> flatten(all.got))"
+    return F.expr(f"transform(array(named_struct('gaps', {gaps}, 'found', {matches})), p -> CASE WHEN size(p.found) = 0 THEN CAST(array() AS array<{kind}>) ELSE {blocks} END)[0]")
 
 
 def base_spans(text: str = "t") -> Column:
@@ -68,16 +80,32 @@ def base_spans(text: str = "t") -> Column:
     return F.sort_array(F.concat(*each))
 
 
-_TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D@]*+@|(?:[0-9]{0,3}+[^\x20\x09-\x0D0-9]++)*+[0-9]{4})[^\x20\x09-\x0D]++"
-_TOKENS = "struct<s:int,e:int,token:string,before:string>"
+_BLANK = r"\x20\x09-\x0D"
+_GROUPS = r"[(+]?+[0-9]{2,}+(?![A-Za-z@])(?:[ .()/-]{1,2}+[0-9]{2,}+(?![A-Za-z@])){2,}+"
+_TOKEN = rf"(?<![^{_BLANK}])(?:{_GROUPS}|(?=[^{_BLANK}@]*+@|(?:[0-9]{{0,3}}+[^{_BLANK}0-9]++)*+[0-9]{{4}})[^{_BLANK}]++)"
+_TOKENS = "struct<s:int,e:int,token:string,before:string,after:string>"
 
 
 def candidates(text: str = "t") -> Column:
-    """Identifier-like tokens with their places (outer punctuation trimmed) and the characters before them."""
+    """Identifier-like tokens with their places (outer punctuation trimmed) and the characters before and behind them."""
     trimmed = "regexp_replace(x.t, '^[^A-Za-z0-9+(]+|[^A-Za-z0-9]+$', '')"
     lead = "length(x.t) - length(regexp_replace(x.t, '^[^A-Za-z0-9+(]+', ''))"
-    made = f"named_struct('s', acc.pos + x.a + {lead}, 'e', acc.pos + x.a + {lead} + length({trimmed}), 'token', {trimmed}, 'before', right(x.g, {CONTEXT}))"
-    return F.when(F.col(text).rlike("@|[0-9]{4}"), _walk(_TOKEN, "true", made, _TOKENS, text)).otherwise(F.expr(f"CAST(array() AS array<{_TOKENS}>)"))
+    place = f"'s', acc.pos + x.a + {lead}, 'e', acc.pos + x.a + {lead} + length({trimmed})"
+    made = f"named_struct({place}, 'token', {trimmed}, 'before', right(concat(acc.tail, x.g), {CONTEXT}), 'after', x.h)"
+    return F.when(F.col(text).rlike("@|[0-9]{4}|[0-9]{2}[ .()/-]{1,2}[0-9]{2}"), _walk(_TOKEN, "true", made, _TOKENS, text)).otherwise(F.expr(f"CAST(array() AS array<{_TOKENS}>)"))
+
+
+def patterns() -> Column:
+    """The lexical patterns of a token with its words before (w) and behind (v), as (side, pattern)."""
+    w, v = (lambda i: F.get("w", F.size("w") - 1 - i)), (lambda i: F.get("v", F.lit(i)))
+    shape = F.regexp_replace(F.regexp_replace("token", "[0-9]+", "0"), "[A-Za-z]+", "a")
+    made = [
+        ("b", "1", w(0)), ("b", "2", F.concat(w(1), F.lit(" "), w(0))), ("b", "s", F.concat(w(0), F.lit("\t"), shape)),
+        ("a", "1", v(0)), ("a", "2", F.concat(v(0), F.lit(" "), v(1))), ("a", "s", F.concat(v(0), F.lit("\t"), shape)),
+        ("c", "1", F.concat(w(0), F.lit("\t"), v(0))),
+    ]
+    each = [F.struct(F.lit(side).alias("side"), F.concat(F.lit(side + kind + " "), words).alias("pattern")) for side, kind, words in made]
+    return F.filter(F.array(*each), lambda x: x["pattern"].isNotNull())
 
 
 def joined(spans: str) -> Column:
@@ -89,20 +117,24 @@ def bootstrap(found: DataFrame, store: Written) -> DataFrame:
     """found (row, base, cands) -> row, extra: spans of accepted tokens."""
     one = found.where(F.size("cands") > 0).select("row", "base", F.explode("cands").alias("c")).where(F.col("c.e") > F.col("c.s"))
     kind = F.expr("get(transform(filter(base, b -> b.s < c.e AND b.e > c.s), b -> b.k), 0)")
-    seen = store.write(one.select("row", F.col("c.s").alias("s"), F.col("c.e").alias("e"), F.col("c.token").alias("token"), F.col("c.before").alias("before"), kind.alias("kind")), "tokens")
-    words = F.array_remove(F.split(F.regexp_replace(F.lower("before"), "[0-9]", "0"), r"[\x20\x09-\x0D]+"), "")
-    patterns = F.array_distinct(F.array(F.concat(F.lit("1 "), F.element_at(words, -1)), F.array_join(F.concat(F.array(F.lit("2")), F.slice(words, -2, 2)), " ")))
-    pairs = seen.select("token", "kind", words.alias("words"), "before").where(F.size("words") >= 2).select("token", "kind", F.explode(patterns).alias("pattern"))
-    edges = store.write(pairs.groupBy("pattern", "token").agg(F.min("kind").alias("kind")), "edges")
-    seeds = edges.where(F.col("kind").isNotNull()).select("token", "kind", F.lit(1.0).alias("confidence")).distinct()
-    known = seeds
+    seen = store.write(one.select("row", *[F.col(f"c.{c}").alias(c) for c in ("s", "e", "token", "before", "after")], kind.alias("kind")), "tokens")
+    words = lambda c: F.array_remove(F.split(F.regexp_replace(F.lower(c), "[0-9]", "0"), rf"[{_BLANK}]+"), "")
+    pairs = seen.select("token", "kind", words("before").alias("w"), words("after").alias("v")).select("token", "kind", F.explode(patterns()).alias("p"))
+    edges = store.write(pairs.groupBy("p.side", "p.pattern", "token").agg(F.min("kind").alias("kind")), "edges")
+    total = store.write(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    seeds = store.write(edges.where(F.col("kind").isNotNull()).select("token", "kind", F.lit(1.0).alias("confidence")).distinct(), "seeds")
+    known, last = seeds, None
     for step in range(ROUNDS):
-        total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
         lit = edges.select("pattern", "token").join(known, "token").groupBy("pattern", "kind").agg(F.sum("confidence").alias("sure"))
         scores = lit.join(total, "pattern").select("pattern", "kind", (F.col("sure") / (F.col("n") + DAMP)).alias("score")).where(F.col("score") >= PATTERN)
+        sides = edges.where(F.col("kind").isNull()).select("side", "pattern", "token").join(scores, "pattern").groupBy("token", "kind", "side").agg(F.max("score").alias("score"))
         miss = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-6))))
-        fresh = edges.where(F.col("kind").isNull()).select("pattern", "token").join(scores, "pattern").groupBy("token", "kind").agg((1 - F.exp(miss)).alias("confidence"))
+        fresh = sides.groupBy("token", "kind").agg((1 - F.exp(miss)).alias("confidence"))
         known = store.write(seeds.unionByName(fresh).groupBy("token", "kind").agg(F.max("confidence").alias("confidence")), f"known{step}")
+        now = tuple(known.agg(F.count(F.lit(1)), F.round(F.sum("confidence"), 3)).first())
+        if now == last:
+            break
+        last = now
     best = known.where(F.col("confidence") >= ACCEPT).groupBy("token").agg(F.max_by(F.col("kind"), F.struct(F.col("confidence"), -F.col("kind"))).alias("found"))
     extra = seen.where(F.col("kind").isNull()).join(best, "token")
     return extra.groupBy("row").agg(F.collect_set(F.struct(F.col("s"), F.col("found").alias("k"), F.col("e"))).alias("extra"))
