@@ -20,7 +20,9 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import defaultdict
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,17 +48,70 @@ _NAMED = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "svg", "template", "select", "object", "canvas", "audio", "video", "button")}
 
 
+#: Cues in class, id and role names (fixed values), by what they speak of.
+CUES = {
+    "ad": "ad ads advert advertisement sponsor sponsored promo promoted banner",
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs toolbar tabs pagination pager",
+    "side": "sidebar aside related widget recommended trending popular teaser",
+    "notice": "cookie cookies consent notice gdpr popup modal alert newsletter subscribe paywall overlay",
+    "talk": "comment comments reply replies discussion disqus respond",
+    "share": "share sharing social follow login signup search byline meta tags",
+    "foot": "footer foot copyright legal bottom",
+    "head": "header masthead top logo brand",
+    "main": "content article post entry story body text main page",
+}
+_CUE = {word: name for name, words in CUES.items() for word in words.split()}
+TAGS = ["nav", "header", "footer", "aside", "form", "article", "main", "section", "ul", "ol", "li", "table", "blockquote", "pre", "figure", "figcaption", "p", "h1", "h2", "h3", "div", "details", "dialog", "menu", "fieldset"]
+NAMES = ["bias", *[f"in_{t}" for t in TAGS], *[f"cue_{c}" for c in CUES], "short", "medium", "long", "half_link", "all_link", "no_stop", "copyright", "first", "early", "late", "last", "after_h1", "leaf_p", "leaf_div", "leaf_li", "leaf_h"]
+_AT = {n: i for i, n in enumerate(NAMES)}
+
+
 class Block:
-    __slots__ = ("linked", "path", "text")
+    """A leaf block: its text, how many characters of it are links, and what its ancestors say (bits of NAMES)."""
+
+    __slots__ = ("heading", "linked", "marks", "text")
+
+    def __init__(self, text: str, linked: int, marks: int, heading: bool):
+        self.text, self.linked, self.marks, self.heading = text, linked, marks, heading
+
+
+class Element(NamedTuple):
+    """An open element, with what it and its ancestors say."""
+
+    tag: str
+    marks: int
+    leaf: int
+    heading: bool
+
+
+_ROOT = Element("", 1 << _AT["bias"], 0, False)
+
+
+@lru_cache(maxsize=4096)
+def _own(tag: str, names: str) -> int:
+    """Bits of what an element says by its tag and its class, id and role."""
+    found = {f"in_{tag}"} if tag in TAGS else set()
+    found |= {f"cue_{_CUE[word]}" for word in re.split(r"[^a-z]+", names) if word in _CUE}
+    return sum(1 << _AT[f] for f in found)
 
-    def __init__(self, text: str, linked: int, path: tuple[tuple[str, str], ...]):
-        self.text, self.linked, self.path = text, linked, path
+
+def _groups(tag: str) -> tuple[str, ...]:
+    """What an element's place in the stack is found by."""
+    return (tag, *[""] * (tag in BLOCK), *["!"] * (tag in ("article", "body", "main")))
+
+
+@lru_cache(maxsize=256)
+def _leaf(tag: str) -> int:
+    """Bit of a block's nearest block-level tag."""
+    name = {"p": "leaf_p", "div": "leaf_div", "li": "leaf_li"}.get(tag, "leaf_h" if re.fullmatch("h[1-6]", tag) else "bias")
+    return 1 << _AT[name]
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order: text (blanks made one space), characters of link text, ancestors as (tag, names)."""
+    """Leaf blocks in page order; texts have blanks made one space."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Element] = []
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag in the stack; "": of all block-level tags, "!": of those that no end tag of another reaches over
     parts: list[str] = []
     ends: dict[str, re.Match | None] = {}
     links = linked = silent = 0
@@ -65,13 +120,14 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, min(linked, len(text)), tuple(stack)))
+            top = stack[-1] if stack else _ROOT
+            out.append(Block(text, min(linked, len(text)), top.marks | top.leaf, top.heading))
         parts.clear()
         linked = 0
 
     def say(raw: str) -> None:
         nonlocal linked
-        if stack and stack[-1][0] == "head" and not raw.isspace() and raw:
+        if stack and stack[-1].tag == "head" and not raw.isspace() and raw:
             leave(len(stack) - 1)
         if raw and not silent:
             text = entities.unescape(raw)
@@ -81,10 +137,16 @@ def blocks(page: str) -> list[Block]:
 
     def leave(depth: int) -> None:
         nonlocal links, silent
-        for tag, _ in stack[depth:]:
+        while len(stack) > depth:
+            tag = stack.pop().tag
             links -= tag == "a"
             silent -= tag in SILENT
-        del stack[depth:]
+            for group in _groups(tag):
+                places[group].pop()
+
+    def last(group: str) -> int:
+        found = places.get(group)
+        return found[-1] if found else -1
 
     def end_of(tag: str, at: int) -> re.Match | None:
         """The next end tag; each stretch of the page is searched once."""
@@ -103,30 +165,26 @@ def blocks(page: str) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if not m[1] and tag not in HEAD and stack and stack[-1][0] == "head":
+        if not m[1] and tag not in HEAD and stack and stack[-1].tag == "head":
             leave(len(stack) - 1)
         if tag in BLOCK:
             close()
         elif tag == "br":
             say(" ")
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    leave(i)
-                    break
-                if stack[i][0] in ("article", "body", "main") and tag not in ("body", "html", "article", "main"):
-                    break
+            at_ = last(tag)
+            if at_ >= 0 and (tag in ("body", "html", "article", "main") or at_ > last("!")):
+                leave(at_)
             continue
-        if tag in BLOCK and stack and stack[-1][0] == "option":
+        if tag in BLOCK and stack and stack[-1].tag == "option":
             leave(len(stack) - 1)
         if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option") or tag in BLOCK:
             # An open paragraph ends before any block; an open item before the next one.
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
-                    leave(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+            block = last("")
+            if tag == "option" and last(tag) > block:
+                leave(last(tag))
+            elif block >= 0 and (stack[block].tag == "p" or stack[block].tag == tag and tag in ("li", "dt", "dd", "td", "th", "tr")):
+                leave(block)
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         if tag in _RAW_END:
@@ -138,53 +196,22 @@ def blocks(page: str) -> list[Block]:
                 at = end.end()
                 continue
         names = " ".join(v.strip("\"'") for _, v in _NAMED.findall(m[3])).lower() if m[3] else ""
-        stack.append((tag, names))
+        above = stack[-1] if stack else _ROOT
+        for group in _groups(tag):
+            places[group].append(len(stack))
+        stack.append(Element(tag, above.marks | _own(tag, names), _leaf(tag) if tag in BLOCK else above.leaf, above.heading or tag == "h1"))
         links += tag == "a"
         silent += tag in SILENT
     close()
     return out
 
 
-#: Cues in class, id and role names (fixed values), by what they speak of.
-CUES = {
-    "ad": "ad ads advert advertisement sponsor sponsored promo promoted banner",
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs toolbar tabs pagination pager",
-    "side": "sidebar aside related widget recommended trending popular teaser",
-    "notice": "cookie cookies consent notice gdpr popup modal alert newsletter subscribe paywall overlay",
-    "talk": "comment comments reply replies discussion disqus respond",
-    "share": "share sharing social follow login signup search byline meta tags",
-    "foot": "footer foot copyright legal bottom",
-    "head": "header masthead top logo brand",
-    "main": "content article post entry story body text main page",
-}
-_CUE = {word: name for name, words in CUES.items() for word in words.split()}
-TAGS = ["nav", "header", "footer", "aside", "form", "article", "main", "section", "ul", "ol", "li", "table", "blockquote", "pre", "figure", "figcaption", "p", "h1", "h2", "h3", "div", "details", "dialog", "menu", "fieldset"]
-NAMES = ["bias", *[f"in_{t}" for t in TAGS], *[f"cue_{c}" for c in CUES], "short", "medium", "long", "half_link", "all_link", "no_stop", "copyright", "first", "early", "late", "last", "after_h1", "leaf_p", "leaf_div", "leaf_li", "leaf_h"]
-_AT = {n: i for i, n in enumerate(NAMES)}
-
-
-@lru_cache(maxsize=4096)
-def _path(path: tuple[tuple[str, str], ...]) -> tuple[int, ...]:
-    found = {"bias"}
-    for tag, names in path:
-        if tag in TAGS:
-            found.add(f"in_{tag}")
-        for word in re.split(r"[^a-z]+", names):
-            if word in _CUE:
-                found.add(f"cue_{_CUE[word]}")
-    for tag, _ in reversed(path):
-        if tag in BLOCK:
-            found.add({"p": "leaf_p", "div": "leaf_div", "li": "leaf_li"}.get(tag, "leaf_h" if re.fullmatch("h[1-6]", tag) else "bias"))
-            break
-    return tuple(_AT[f] for f in found)
-
-
 def features(page: list[Block]) -> np.ndarray:
     """One row of 0 and 1 for each block."""
     x = np.zeros((len(page), len(NAMES)))
     heading = False
     for i, b in enumerate(page):
-        x[i, list(_path(b.path))] = 1
+        x[i, [k for k in range(len(NAMES)) if b.marks >> k & 1]] = 1
         n = len(b.text)
         x[i, _AT["short" if n < 40 else "medium" if n < 160 else "long"]] = 1
         if b.linked * 2 >= n:
@@ -192,7 +219,7 @@ def features(page: list[Block]) -> np.ndarray:
         x[i, _AT["no_stop"]] = not re.search("[.!?…]", b.text)
         x[i, _AT["copyright"]] = "©" in b.text or "(c)" in b.text.lower()
         x[i, _AT["after_h1"]] = heading
-        heading = heading or any(t == "h1" for t, _ in b.path)
+        heading = heading or b.heading
         x[i, _AT["early"]], x[i, _AT["late"]] = i * 5 < len(page), i * 5 >= len(page) * 4
     if len(page):
         x[0, _AT["first"]] = x[-1, _AT["last"]] = 1
