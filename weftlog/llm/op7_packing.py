@@ -13,12 +13,13 @@ the counts of the partitions before. No piece is ever shuffled by length.
 
 Null and empty texts are the closing id alone; rows that repeat are packed each; an empty table gives no rows; further
 columns are ignored. Ids are those of the byte-level BPE of 50k entries, read from its rank file by tiktoken (the tests
-hold them against the tokenizers file); strings that spell special tokens are ordinary text.
+hold them against the tokenizers file); a string that spells a special token (`SPECIAL`) is that token, as it is by that file.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -32,8 +33,11 @@ from pyspark.sql import functions as F
 from weftlog.llm.common import Written, slices, small_batches, table, texts
 
 CAPACITY, TOKENIZER = 2048, "byte_bpe_50k.tiktoken"
+#: The vocabulary's special tokens and their ids (fixed values).
+SPECIAL = {"<|endoftext|>": 50256}
 #: A worker's memory of encoded chunks is emptied beyond these numbers of chunks and ids.
 MOST_CHUNKS, MOST_IDS = 800_000, 6_000_000
+_SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 
 
 class Encoder:
@@ -46,9 +50,21 @@ class Encoder:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.encode, self.piece = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
+        self.ordinary, self.piece = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
         self.clear()
 
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text, also of one that spells special tokens."""
+        if not any(t in text for t in SPECIAL):
+            return self.ordinary(text)
+        out: list[int] = []
+        for part in _SPECIAL.split(text):
+            if part in SPECIAL:
+                out.append(SPECIAL[part])
+            elif part:
+                out += self.ordinary(part)
+        return out
+
     def clear(self) -> None:
         self.ids, self.starts, self.lengths = array("I", [0]), array("q", [0]), array("q", [1])
         self.marks = {m: array("I", self.encode(m)) for m in ".,!"}
@@ -87,7 +103,7 @@ class Encoder:
             was = len(numbers)
             if not text:
                 pass
-            elif "  " in text:
+            elif "  " in text or any(t in text for t in SPECIAL):
                 numbers.append(self.keep(self.encode(text)))
             else:
                 parts = text.split(" ")
