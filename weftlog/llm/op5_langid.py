@@ -2,10 +2,10 @@
 
 Bytes are classed (letters without case, blanks, digits, signs, and each byte of multi-byte characters); filters of
 widths 2, 3 and 4 slide over fixed windows of `WINDOW` bytes, each filter's largest value in a window is kept, and a
-softmax layer gives the languages. Training is numpy, on windows of labelled documents: up to `WINDOWS` windows spread
-evenly over a document's whole text, and the `SAMPLE` windows of each language with the smallest hashes of doc_id and
-place (a documented bound; nothing but training is sampled; each
-task cuts its own windows to that many before they meet, which Spark does for ranks of up to 1000). Documents whose crc32(doc_id) mod 3 is 1 are held out.
+softmax layer gives the languages. Training is numpy, on windows of labelled documents: of each language about `DOCUMENTS`
+documents, those whose hashes are below a threshold from the language's count (so what meets is bounded at every size), up
+to `WINDOWS` windows spread evenly over a document's whole text, and of those the `SAMPLE` with the smallest hashes of
+doc_id and place (documented bounds; nothing but training is sampled). Documents whose crc32(doc_id) mod 3 is 1 are held out.
 
 Prediction covers every whole text: its windows (the last moved back to be full) are run in batches, and the mean of
 their probabilities decides. Filters of two adjacent bytes are tables of byte pairs, so a window costs a few lookups.
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import slices, small_batches, table, text_buffers, texts
+from weftlog.llm.common import Written, if_small, slices, small_batches, table, text_buffers, texts
 
-WINDOW, WINDOWS, SAMPLE = 256, 4, 1000
+WINDOW, WINDOWS, DOCUMENTS, SAMPLE = 256, 4, 2000, 1000
 WIDTHS, FILTERS, EPOCHS, SEED = (2, 3, 4), 8, 6, 5
 CLASSES = 128
 DOCUMENT = [("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long")]
@@ -46,7 +46,14 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of the Unicode categories L."""
+    return bool(_ASCII_LETTER.search(text)) or any(c.isalpha() for c in text)
+
+
 
 
 def windows(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +166,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Net | None:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
+    counts = Written(docs.sparkSession).write(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    place = F.xxhash64("doc_id", F.lit("training")).cast("double") / 2.0**64 + 0.5
+    rows = rows.join(if_small(counts), "lang").where(place * F.col("n") < DOCUMENTS).select("doc_id", "text", "lang")
     parts = rows.mapInArrow(_training, "doc_id long, place int, lang string, window binary")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place", "window")
     taken = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("lang", "window", "rank").orderBy("lang", "rank").toArrow()
@@ -180,7 +190,7 @@ def predictor(net: Net | None, keep: list[str]):
         if net is not None:
             net.ready()
         for batch in slices(batches, "text", 1 << 20):
-            lettered = np.array([bool(_LETTER.search(t)) for t in texts(batch.column("text"))])
+            lettered = np.array([has_letter(t) for t in texts(batch.column("text"))])
             lang, score = np.full(len(lettered), "und", object), np.zeros(len(lettered))
             if net is not None and lettered.any():
                 x, owner = windows(*text_buffers(batch.column("text")))
