@@ -6,7 +6,8 @@ the same one) is removed; strings are judged on the input.
 Which suffixes are sorted. Sorting all of them would move many times the input (each byte begins one), so a content-defined
 choice comes first, without loss: of the `LENGTH - GRAM + 1` grams of `GRAM` bytes in a string the one with the smallest
 fingerprint (the leftmost of equals) is its anchor. Equal strings have equal anchors at equal offsets, so a string can
-repeat only if its anchor's gram does. Suffixes that begin at an anchor are kept if their gram occurs twice or more.
+repeat only if its anchor's gram does. Suffixes that begin at an anchor are kept if their gram occurs twice or more; of a
+gram that occurs twice in one batch of texts that is known at once, and one row of the batch goes to meet the others.
 
 The sort. A task sorts its suffixes (what follows the anchor, up to `LENGTH` bytes) and cuts them into runs, one for each
 part (a part has all suffixes of its grams); runs travel front-coded: common prefix with the suffix before, and the rest.
@@ -14,7 +15,9 @@ A part merges its runs by a loser tree whose players carry their common prefix w
 one wins unread, and equal ones are compared beyond the prefix that is known. Out come the suffixes in order with their
 common prefixes, which give, for every r, the classes of suffixes that agree on r bytes; sorting what precedes the anchors
 gives the same to the left. A string at offset o before its anchor is one pair of classes (o bytes to the left,
-LENGTH - o to the right); all but the earliest of a pair are repeated. No fingerprint decides here, only bytes.
+LENGTH - o to the right); all but the earliest of a pair are repeated. No fingerprint decides here, only bytes. Suffixes of
+a task that agree in all bytes on both sides are combined before they move: the earliest stands for them, and the strings
+around the others are repeated for certain, so the inside of a passage meets as one row for each task.
 
 Documents with equal texts: all but the first are removed whole (if they have LENGTH bytes) and take no part in the sort,
 so groups of copies never meet. Text is moved by a fingerprint of the row, once: the three joins share that exchange.
@@ -81,26 +84,35 @@ def _anchored(batches):
         places, keys = anchors(raw, at)
         owner = np.searchsorted(at, places, "right") - 1
         # Empty texts share a start with the next one; the last of equals is the owner.
-        names = batch.column("row").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(names[owner]), pa.array((places - at[owner]).astype(np.int32))], names=["key", "row", "pos"])
+        row, pos = batch.column("row").to_numpy()[owner], (places - at[owner]).astype(np.int32)
+        # 0: the gram's only row here; 1: one of several, which goes to meet other batches; 2: the others, known to be repeated, dealt evenly.
+        _, first, inverse, many = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        state = np.where(many[inverse] > 1, 2, 0).astype(np.int8)
+        state[first] //= 2
+        keys = np.where(state == 2, mix(row.view(np.uint64) + pos.astype(np.uint64)), keys)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(row), pa.array(pos), pa.array(state)], names=["key", "row", "pos", "state"])
 
 
 def _repeated(batches):
-    """Of a partition sorted by key: the rows whose key another row has. Holds one row back between batches."""
+    """Of a partition sorted by key: the rows whose key another row has, or that are known to be repeated. Holds one row back between batches."""
     last = None
     for batch in batches:
-        if not batch.num_rows:
+        key, row, pos, state = (batch.column(c).to_numpy() for c in ("key", "row", "pos", "state"))
+        known = state == 2
+        if known.any():
+            yield pa.RecordBatch.from_arrays([pa.array(row[known]), pa.array(pos[known])], names=["row", "pos"])
+            key, row, pos, state = (x[~known] for x in (key, row, pos, state))
+        if not len(key):
             continue
-        key, row, pos = (batch.column(c).to_numpy() for c in ("key", "row", "pos"))
         if last is not None:
-            key, row, pos = (np.concatenate([[x], y]) for x, y in zip(last[:3], (key, row, pos), strict=True))
+            key, row, pos, state = (np.concatenate([[x], y]) for x, y in zip(last[:4], (key, row, pos, state), strict=True))
         same = key[1:] == key[:-1]
-        give = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        done = last is not None and last[3]
+        give = np.concatenate([same, [False]]) | np.concatenate([[False], same]) | (state == 1)
+        done = last is not None and last[4]
         shared = bool(give[-1])
         if done:
             give[0] = False
-        last = (key[-1], row[-1], pos[-1], shared or done and len(key) == 1)
+        last = (key[-1], row[-1], pos[-1], state[-1], shared or done and len(key) == 1)
         out = np.flatnonzero(give)
         yield pa.RecordBatch.from_arrays([pa.array(row[out]), pa.array(pos[out].astype(np.int32))], names=["row", "pos"])
 
@@ -263,8 +275,27 @@ def covered(runs: list[Run]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids[out, 1], pos[out] - high[out], pos[out] - low[out] + LENGTH
 
 
+def combined(suffixes: list[tuple[bytes, bytes, int, int]], documents: list[tuple[int, int]]) -> tuple[list[tuple[bytes, bytes, int, int]], list[tuple[int, int, int]]]:
+    """Of sorted suffixes, the earliest of those that agree in all bytes, and what the repeated strings around the others cover (row, start, end)."""
+    kept, spans, first = [], [], 0
+    while first < len(suffixes):
+        after, head = suffixes[first][:2]
+        end = first + 1
+        while end < len(suffixes) and suffixes[end][0] == after and suffixes[end][1] == head:
+            end += 1
+        group = suffixes[first:end]
+        place = lambda x: (documents[x[2]], x[3])
+        earliest = min(group, key=place) if end > first + 1 else group[0]
+        kept.append(earliest)
+        low, high = max(0, LENGTH - len(after)), len(head)
+        if low <= high:  # rows that repeat id and text are one document
+            spans += [(documents[d][1], p - high, p - low + LENGTH) for _, _, d, p in group if (documents[d], p) != place(earliest)]
+        first = end
+    return kept, spans
+
+
 def runner(parts: int):
-    """Sorted, front-coded runs of the suffixes at the given anchors of each text."""
+    """Sorted, front-coded runs of the suffixes at the given anchors of each text, and (without a run) spans that are known already."""
 
     def run(batches):
         held: list[tuple[int, bytes, bytes, int, int]] = []
@@ -277,12 +308,14 @@ def runner(parts: int):
                 end = first
                 while end < len(held) and held[end][0] == held[first][0]:
                     end += 1
-                rows.append((held[first][0], encode([s[1:] for s in held[first:end]], documents)))
+                kept, spans = combined([s[1:] for s in held[first:end]], documents)
+                rows.append((held[first][0], encode(kept, documents), None, None, None))
+                rows += [(row % parts, None, row, start, stop) for row, start, stop in spans]
                 first = end
             held.clear()
             documents.clear()
-            a, b = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary())], names=["part", "run"])
+            a, b, c, d, e = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.binary()), pa.array(c, pa.int64()), pa.array(d, pa.int32()), pa.array(e, pa.int32())], names=["part", "run", "row", "start", "end"])
 
         for batch in slices(batches, "text"):
             raw, at = text_buffers(batch.column("text"))
@@ -313,6 +346,10 @@ def _merge(batches):
         return pa.RecordBatch.from_arrays([pa.array(row), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["row", "start", "end"])
 
     for batch in batches:
+        known = batch.filter(batch.column("run").is_null())
+        if known.num_rows:
+            yield known.select(["row", "start", "end"])
+            batch = batch.filter(batch.column("run").is_valid())
         for p, blob in zip(batch.column("part").to_pylist(), batch.column("run").to_pylist(), strict=True):
             if p != part and blobs:
                 yield done()
@@ -367,11 +404,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     # The first row of each text: two fingerprints and the length stand for the text.
     marks = text.select("row", "doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"), F.octet_length("text").alias("n"))
     firsts = marks.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "row")).alias("m")).where(F.col("n") >= LENGTH).select(F.col("m.row").alias("row"))
-    found = text.join(firsts, "row").select("row", "doc_id", "text").mapInArrow(_anchored, "key long, row long, pos int")
+    found = text.join(firsts, "row").select("row", "doc_id", "text").mapInArrow(_anchored, "key long, row long, pos int, state byte")
     shared = found.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_repeated, "row long, pos int")
     places = shared.groupBy("row").agg(F.collect_set("pos").alias("places"))
     parts = 4 * n
-    runs = text.join(places, "row").select("row", "doc_id", "text", "places").mapInArrow(runner(parts), "part int, run binary")
+    runs = text.join(places, "row").select("row", "doc_id", "text", "places").mapInArrow(runner(parts), "part int, run binary, row long, start int, end int")
     spans = runs.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_merge, "row long, start int, end int")
     spans = spans.groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     whole = text.join(spans, "row", "left").join(firsts.withColumn("first", F.lit(True)), "row", "left")
