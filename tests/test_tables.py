@@ -41,6 +41,8 @@ def test_projection_reaches_the_scan(source):
 
 
 def test_ranges(source):
+    kinds = [f.type for f in next(iter(source.batches())).schema]
+    assert [str(k) for k in kinds] == [{"Int32": "int32", "Int64": "int64", "Float": "float", "Double": "double", "Bool": "bool", "String": "string", "Blob": "binary"}[f.type] for f in source.schema.fields]
     ids = lambda a, n: sorted(r.id for r in source.read_range(a, n, [0]).collect())
     assert ids(0, 30) + ids(30, 25) + ids(55, 45) == list(range(100))
     assert ids(90, 1000) == list(range(90, 100)) and ids(100, 5) == [] and ids(3, 0) == []

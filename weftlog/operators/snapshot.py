@@ -47,7 +47,7 @@ def load(table: TableFiles, probe: int) -> Snapshot | None:
         else:
             break
         if last:
-            raise ProtocolError("published WAL is missing")
+            raise ProtocolError("an entry up to the published position is missing")
     probed = 0
     while probed < probe:
         entry = table.entry(state.published_seq + probed + 1)

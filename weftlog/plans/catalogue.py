@@ -359,16 +359,16 @@ def index_preserves_rows(spark, sf_dir):
     return log.scan(probe=False)
 
 
-@query(f"SELECT *, 'Committed,AlreadyCommitted,AlreadyCommitted' AS codes FROM ({_HALF})")
+@query(f"SELECT *, 'Committed,Committed,AlreadyCommitted,AlreadyCommitted' AS codes FROM ({_ALL})")
 def retry_is_idempotent(spark, sf_dir):
     log = _Log(spark, sf_dir)
-    codes = [log.add(0, 2).code, log.add(0, 2).code]
+    codes = [log.add(0, 2).code, log.add(1, 2).code, log.add(0, 2).code]
     log.indexer.index()
-    codes.append(log.add(0, 2).code)
+    codes.append(log.add(1, 2).code)
     return log.scan(probe=False).withColumn("codes", F.lit(",".join(codes)))
 
 
-@query(f"SELECT *, 'Durable,Fenced,AlreadyCommitted' AS codes FROM ({_HALF})")
+@query(f"SELECT *, 'Durable,Fenced,AlreadyCommitted,Committed' AS codes FROM ({_ALL})")
 def fence_failover(spark, sf_dir):
     log = _Log(spark, sf_dir)
     codes = [log.add(0, 2, DEFERRED).code]
@@ -376,7 +376,7 @@ def fence_failover(spark, sf_dir):
     heir.start()
     codes.append(log.add(1, 2).code)
     log.indexer.index()
-    codes.append(log.add(0, 2, writer=heir).code)
+    codes += [log.add(0, 2, writer=heir).code, log.add(1, 2, writer=heir).code]
     return log.scan(probe=False).withColumn("codes", F.lit(",".join(codes)))
 
 

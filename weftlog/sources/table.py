@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from weftlog.functions.rowcodec import aliased, decode_frame
 from weftlog.types import Schema
@@ -37,18 +38,19 @@ class TableSource:
     def batches(self, projection: list[int] | None = None, batch_rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
         """Ordered batches of at most batch_rows rows (less than 1 is 1), pulled partition by partition."""
         df, size, held = self.ordered(projection), max(1, batch_rows), []
-        names = df.columns
+        types = to_arrow_schema(df.schema)
         for row in df.toLocalIterator():
             held.append(row)
             if len(held) == size:
-                yield _batch(names, held)
+                yield _batch(types, held)
                 held = []
         if held:
-            yield _batch(names, held)
+            yield _batch(types, held)
 
 
-def _batch(names: list[str], rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(len(names))], names=names)
+def _batch(types: pa.Schema, rows: list) -> pa.RecordBatch:
+    """Rows as columns of the schema's types, whatever values they hold."""
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(types)], names=types.names)
 
 
 class ParquetSource(TableSource):
