@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftlog.functions.digest import lanes
 from weftlog.functions.keys import decode_int, encode_key, key_double, key_int
-from weftlog.functions.rowcodec import decode_frame, decode_row, encode_frame, encode_row
+from weftlog.functions.rowcodec import _fields, decode_frame, decode_row, encode_frame, encode_row
 from weftlog.sources.columnar import Columnar, Compression, encode_file, read_dbc1, write_dbc1
 from weftlog.types import Schema, SchemaError
 
@@ -79,6 +79,41 @@ def test_row_frames(spark):
     assert decode_frame(blobs, SCORES, []).count() == 251
 
 
+def test_double_keys_of_all_magnitudes(spark):
+    rng = np.random.default_rng(5)
+    bits = rng.integers(-(2**63), 2**63 - 1, 20000)
+    edges = [v for e in range(-1074, 1024) for p in [2.0**e] for v in (p, -p, np.nextafter(p, 0), np.nextafter(p, np.inf))]
+    doubles = [float(v) for v in [*bits.view(np.float64), *edges, np.inf, -np.inf] if not np.isnan(v)] + [0.0, -0.0, float("nan")]
+    got = spark.createDataFrame([(v,) for v in doubles], "v double").select("v", key_double(F.col("v")).alias("k"))
+    rows = got.collect()
+    assert all(bytes(r.k) == encode_key(r.v) for r in rows)
+    wide = spark.createDataFrame([(0.1,), (-0.0,)], "v float").select(key_double(F.col("v")).alias("k")).collect()
+    assert [bytes(r.k) for r in wide] == [encode_key(float(np.float32(0.1))), encode_key(-0.0)]
+
+
+EVERY = Schema.of(i="Int32", s="String", d="Double", t="Bool", b="Blob", f="Float", l="Int64")
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(-(2**31), 2**31 - 1), st.text(max_size=30), st.floats(allow_nan=False), st.booleans(), st.binary(max_size=30), st.floats(width=32, allow_nan=False), st.integers(-(2**63), 2**63 - 1)), max_size=8))
+def test_blobs_decode_together_as_alone(rows):
+    blobs = [encode_row(EVERY, r) + b"more" for r in rows]
+    held = pa.array([b"before", *blobs], pa.binary()).slice(1)
+    for wanted in ([0, 1, 2, 3, 4, 5, 6], [4, 1], [6, 0], []):
+        got = [c.to_pylist() for c in _fields(EVERY, held, wanted)]
+        want = [decode_row(EVERY, b, wanted) for b in blobs]
+        assert got == [[r[j] for r in want] for j in range(len(wanted))]
+
+
+def test_broken_blobs_are_errors_together_too():
+    good = encode_row(SCORES, (1, "x", 0.5, True))
+    for bad in (good[:4], good[:-1], b"", struct.pack("<q", 1) + b"\xff\xff\xff\xff", None):
+        with pytest.raises(SchemaError):
+            _fields(SCORES, pa.array([good, bad], pa.binary()), [0])
+    with pytest.raises(SchemaError):
+        _fields(Schema.of(s="String"), pa.array([b"\x01\0\0\0\xff"], pa.binary()), [0])
+
+
 def test_digest_is_bound_to_places(spark):
     one = spark.createDataFrame([(0, 0.0), (1, -0.0)], "p long, v double")
     two = spark.createDataFrame([(0, -0.0), (1, 0.0)], "p long, v double")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from weftlog.functions.keys import encode_key, key_int
 from weftlog.functions.rowcodec import encode_frame, encode_row
 from weftlog.operators.kv import MOST_VALUE, KeyValueTable
-from weftlog.sources.table import ParquetSource, RowSource, write_files
+from weftlog.sources import table as table_module
+from weftlog.sources.table import ParquetSource, RowSource, looked_up, write_files
 from weftlog.types import Schema, SchemaError
 
 SCORES = Schema.of(id="Int64", name="String", score="Double", active="Bool")
@@ -114,3 +115,25 @@ def test_encode_row_matches_stored(spark, tmp_path):
     table = KeyValueTable(spark, str(tmp_path / "kv"))
     table.insert(encode_frame(scores(spark, [3]), SCORES, key_int(F.col("id"))))
     assert table.get(encode_key(3)) == encode_row(SCORES, (3, "row3", 4.5, False))
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_files_keep_their_place_by_either_join(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(table_module, "BROADCAST_PAIRS", most)
+    schema = Schema.of(id="Int64")
+    folder = str(tmp_path / "a folder")
+    files = write_files(spark.range(40).select(F.col("id")), folder, 4, order=["id"])
+    source = ParquetSource(spark, schema, files[::-1])
+    want = [r.id for f in files[::-1] for r in spark.read.parquet(f).orderBy("id").collect()]
+    assert [r[0] for r in source.collect_projected()] == want
+    assert source.scan().count() == 40
+    unlisted = looked_up(spark.createDataFrame([("b",)], "k string"), "k", [("a", 1)], "n", "int")
+    with pytest.raises(Exception, match="unlisted file b"):
+        unlisted.collect()
+
+
+def test_first_of_equal_keys_in_the_frame_wins(spark, tmp_path):
+    table = KeyValueTable(spark, str(tmp_path / "kv"))
+    rows = spark.range(0, 400, 1, 8).select(key_int(F.col("id") % 5).alias("k"), F.col("id").cast("string").cast("binary").alias("v"))
+    assert table.insert(rows) == 5
+    assert [bytes(r.v) for r in table.scan().collect()] == [b"0", b"1", b"2", b"3", b"4"]

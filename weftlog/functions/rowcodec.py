@@ -101,6 +101,45 @@ def encode_frame(df: DataFrame, schema: Schema, key: Column | None = None) -> Da
     return rows.mapInArrow(run, "k binary, v binary" if key is not None else "v binary")
 
 
+def _fields(schema: Schema, blobs: pa.Array, wanted: list[int]) -> list[pa.Array]:
+    """The wanted fields of all blobs at once, with decode_row's checks; each field is gathered from the blobs' one buffer."""
+    if blobs.null_count:
+        raise SchemaError("null row blob")
+    blobs, n = blobs.cast(pa.large_binary()), len(blobs)
+    ends = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)
+    at, end, out = ends[:-1].copy(), ends[1:], {}
+
+    def fixed(width: int) -> np.ndarray:
+        if (at + width > end).any():
+            raise SchemaError("row blob ends early")
+        return data[at[:, None] + np.arange(width)]
+
+    for i, field in enumerate(schema.fields):
+        if field.type in CODE:
+            raw = fixed(WIDTH[field.type])
+            if i in wanted:
+                numbers = raw.reshape(-1).view(_FORMAT[field.type])
+                out[i] = pa.array(numbers != 0 if field.type == "Bool" else numbers, _ARROW[field.type])
+            at += WIDTH[field.type]
+            continue
+        size = fixed(4).reshape(-1).view("<u4").astype(np.int64)
+        at += 4
+        if (at + size > end).any():
+            raise SchemaError("row blob ends early")
+        if i in wanted:
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+            held = data[np.repeat(at - offsets[:-1], size) + np.arange(offsets[-1])]
+            values = pa.Array.from_buffers(pa.large_string() if field.type == "String" else pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(held.tobytes())])
+            try:
+                values.validate(full=True)
+            except pa.ArrowInvalid as e:
+                raise SchemaError(f"{field.name} holds bytes that are no UTF-8; its type must be Blob") from e
+            out[i] = values.cast(_ARROW[field.type])
+        at += size
+    return [out[i] for i in wanted]
+
+
 def decode_frame(blobs: DataFrame, schema: Schema, projection: list[int] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """A frame with column v -> the projected columns (decoded alone), after those named in carry."""
     wanted = schema.fitted(projection)
@@ -111,10 +150,9 @@ def decode_frame(blobs: DataFrame, schema: Schema, projection: list[int] | None
 
     def run(batches):
         for batch in batches:
-            rows = [decode_row(schema, b, once) for b in batch.column("v").to_pylist()]
-            columns = [pa.array([r[j] for r in rows], _ARROW[f.type]) for j, f in enumerate(fields)]
+            columns = _fields(schema, batch.column("v"), once)
             if not fields and not carry:
-                columns = [pa.array([0] * len(rows), pa.int32())]
+                columns = [pa.array(np.zeros(batch.num_rows, np.int32))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *columns], names=[*carry, *[f.name for f in fields]] if fields or carry else ["_none"])
 
     return kept.mapInArrow(run, types).select(*carry, *aliased(schema, wanted))

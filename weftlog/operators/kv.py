@@ -76,9 +76,9 @@ class KeyValueTable:
             raise ValueError(f"a key has {KEY_LENGTH} bytes, not {len(key)}")
 
     def insert(self, rows: DataFrame, order: list[str] | None = None) -> int:
-        """Insert rows (k, v) whose keys are absent; of equal new keys the first by `order` wins. Returns how many went in."""
-        place = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
-        fresh = rows.groupBy("k").agg(F.min_by("v", place).alias("v")) if order else rows.groupBy("k").agg(F.first("v").alias("v"))
+        """Insert rows (k, v) whose keys are absent; of equal new keys the first by `order`, or else in the frame as it is read, wins. Returns how many went in."""
+        place = F.struct(*[F.col(c) for c in order]) if order else F.monotonically_increasing_id()
+        fresh = rows.withColumn("_at", place).groupBy("k").agg(F.min_by("v", "_at").alias("v"))
         bad = F.when(F.coalesce(F.length("k"), F.lit(-1)) != KEY_LENGTH, F.raise_error(F.lit(f"a key has {KEY_LENGTH} bytes"))).when(F.coalesce(F.length("v"), F.lit(MOST_VALUE + 1)) > MOST_VALUE, F.raise_error(F.lit(f"a value has at most {MOST_VALUE} bytes")))
         fresh = fresh.select("k", F.when(bad.cast("string").isNull(), F.col("v")).alias("v"))
         if self._segments:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
 
 from weftlog.operators.protocol import DataFile, Entry, ProtocolError, State, TableFiles
-from weftlog.sources.table import TableSource
+from weftlog.sources.table import TableSource, looked_up
 from weftlog.types import Schema
 
 #: First, smallest and largest number of log places probed beyond what is published (fixed values).
@@ -88,8 +88,8 @@ class SnapshotSource(TableSource):
             paths = [p for e in self.snapshot.log for p in e.payload]
             places = {p.rsplit("/", 2)[1]: e.seq for e in self.snapshot.log for p in e.payload}
             folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-            seq = F.element_at(F.create_map(*[F.lit(x) for p in places.items() for x in p]), folder).cast("long")
-            parts.append(_rows(self.spark, schema, paths, False).select("*", seq.alias("_seq")).withColumn("_src", F.lit(1)))
+            rows = _rows(self.spark, schema, paths, False).withColumn("_folder", folder)
+            parts.append(looked_up(rows, "_folder", list(places.items()), "_seq", "long").drop("_folder").withColumn("_src", F.lit(1)))
         if not parts:
             return self.spark.createDataFrame([], schema.spark()).withColumns({"_seq": F.lit(0).cast("long"), "_chunk": F.lit(0), "_row": F.lit(0).cast("long"), "_src": F.lit(0)})
         return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]

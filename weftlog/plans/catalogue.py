@@ -11,6 +11,7 @@ from weftlog.functions.keys import encode_key, key_double, key_int
 from weftlog.functions.rowcodec import decode_frame, encode_frame
 from weftlog.operators.indexer import Indexer
 from weftlog.operators.kv import KeyValueTable
+from weftlog.operators.objects import FAILED, MetadataStore, read_at, store_at
 from weftlog.operators.protocol import Descriptor
 from weftlog.operators.services import Catalog, ImportService, OneProcess, QueryService, WriterService, fresh_root, open_files
 from weftlog.operators.snapshot import SnapshotSource, Table
@@ -257,6 +258,72 @@ def kv_ordered_scan_reopen(spark, sf_dir):
     return rows.select("o_orderkey", F.row_number().over(Window.orderBy("k")).cast("long").alias("place"))
 
 
+# Objects and metadata: small by nature, and so handled on the driver.
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> list:
+    """The 25 nations, by number."""
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey", "n_name").orderBy("n_nationkey").collect()
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 THEN 'Created' ELSE 'AlreadyExists' END AS outcome FROM nation")
+def object_create_if_absent(spark, sf_dir):
+    """Of all that create one object, the first one alone does."""
+    store = store_at(spark, _root(spark))
+    made = [(int(r.n_nationkey), store.create_if_absent(f"region/{r.n_regionkey}", r.n_name.encode())) for r in _nations(spark, sf_dir)]
+    return spark.createDataFrame(made, "n_nationkey long, outcome string")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, true AS past_end_refused FROM nation")
+def object_ranged_read(spark, sf_dir):
+    """Each name is a byte range of one object; a range that leaves the object gives nothing."""
+    store, nations = store_at(spark, _root(spark)), _nations(spark, sf_dir)
+    names = [r.n_name.encode() for r in nations]
+    store.put("names", b"".join(names))
+    out, at, total = [], 0, sum(map(len, names))
+    for r, name in zip(nations, names, strict=True):
+        out.append((int(r.n_nationkey), read_at(store, "names", at, len(name)).decode(), read_at(store, "names", at, total - at + 1) is None))
+        at += len(name)
+    return spark.createDataFrame(out, "n_nationkey long, n_name string, past_end_refused boolean")
+
+
+@query("SELECT n_regionkey || '/' || n_nationkey AS object FROM nation WHERE n_nationkey % 2 = 1 AND n_regionkey IN (1, 3)")
+def object_list_delete(spark, sf_dir):
+    """Objects by prefix, after some were deleted (twice: the second time does nothing)."""
+    store = store_at(spark, _root(spark))
+    for r in _nations(spark, sf_dir):
+        store.put(f"{r.n_regionkey}/{r.n_nationkey}", r.n_name.encode())
+        for _ in range(2 * (r.n_nationkey % 2 == 0)):
+            store.delete(f"{r.n_regionkey}/{r.n_nationkey}")
+    return spark.createDataFrame([(k,) for p in ("1/", "3/") for k in store.list(p)], "object string")
+
+
+@query("SELECT n_regionkey::BIGINT AS n_regionkey, arg_min(n_name, n_nationkey) AS name, count(*) - 1 AS refused FROM nation GROUP BY n_regionkey")
+def metadata_put_if_absent(spark, sf_dir):
+    """The first value stays; get returns it."""
+    store, refused = MetadataStore(store_at(spark, _root(spark))), {}
+    for r in _nations(spark, sf_dir):
+        done, _ = store.put_if_absent(f"region/{r.n_regionkey}", r.n_name.encode())
+        refused[r.n_regionkey] = refused.get(r.n_regionkey, 0) + (done == FAILED)
+    return spark.createDataFrame([(int(k), store.get(f"region/{k}")[0].decode(), n) for k, n in refused.items()], "n_regionkey long, name string, refused long")
+
+
+@query("SELECT n_regionkey::BIGINT AS n_regionkey, arg_max(n_name, n_nationkey) AS name, count(*) AS version, count(*) - 1 AS stale FROM nation GROUP BY n_regionkey")
+def metadata_compare_exchange(spark, sf_dir):
+    """Each nation swaps its name in by the version that it read; a swap by the version before is refused."""
+    store, stale = MetadataStore(store_at(spark, _root(spark))), {}
+    for r in _nations(spark, sf_dir):
+        key, value = f"region/{r.n_regionkey}", r.n_name.encode()
+        if (found := store.get(key)) is None:
+            stale[r.n_regionkey] = 0
+            store.put_if_absent(key, value)
+            continue
+        store.compare_exchange(key, found[1], value)
+        stale[r.n_regionkey] += store.compare_exchange(key, found[1], b"too late")[0] == FAILED
+    rows = [(int(k), *store.get(f"region/{k}"), n) for k, n in stale.items()]
+    return spark.createDataFrame([(k, v.decode(), version, n) for k, v, version, n in rows], "n_regionkey long, name string, version long, stale long")
+
+
 # Log-structured tables.
 
 

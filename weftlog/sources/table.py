@@ -14,6 +14,8 @@ from weftlog.functions.rowcodec import aliased, decode_frame
 from weftlog.types import Schema
 
 BATCH_ROWS = 1024
+#: Most (path, number) pairs that are broadcast, some 20 MB; more are joined by shuffles.
+BROADCAST_PAIRS = 100_000
 
 
 class TableSource:
@@ -77,11 +79,12 @@ class ParquetSource(TableSource):
         if not self.files:
             return self.spark.createDataFrame([], self.schema.spark()).withColumns({"_file": F.lit(0), "_row": F.lit(0).cast("long")})
         rows = self.spark.read.schema(self.schema.spark()).parquet(*self.files)
+        row = F.col("_metadata.row_index").alias("_row")
         if len(self._places) == 1:
-            number = F.lit(0)
-        else:
-            number = F.element_at(F.create_map(*[F.lit(x) for p in enumerate(self._places) for x in (p[1], p[0])]), F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/"))
-        return rows.select("*", number.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+            return rows.select("*", F.lit(0).alias("_file"), row)
+        places = list({p: i for i, p in reversed(list(enumerate(self._places)))}.items())
+        rows = rows.select("*", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("_path"), row)
+        return looked_up(rows, "_path", places, "_file", "int").select(*self.schema.names, "_file", "_row")
 
     def read_range(self, first: int, count: int, projection: list[int] | None = None, file: int = 0) -> DataFrame:
         """Rows [first, first + count) of one file, clamped at its end; the row index is pushed to the Parquet reader."""
@@ -116,6 +119,13 @@ class RowSource(TableSource):
         return decode_frame(self._kv(), self.schema, wanted, ("k",)).orderBy("k").drop("k")
 
 
+def looked_up(rows: DataFrame, key: str, pairs: list[tuple[str, int]], name: str, kind: str) -> DataFrame:
+    """rows with the number that pairs give for their key (an error where they give none); few enough pairs are broadcast."""
+    table = rows.sparkSession.createDataFrame(pairs, f"`{key}` string, `{name}` {kind}")
+    joined = rows.join(F.broadcast(table) if len(pairs) <= BROADCAST_PAIRS else table, key, "left")
+    return joined.withColumn(name, F.coalesce(F.col(name), F.raise_error(F.concat(F.lit("unlisted file "), F.col(key))).cast(kind)))
+
+
 def write_files(df: DataFrame, folder: str, files: int = 1, compression: str = "none", order: list[str] | None = None) -> list[str]:
     """Write df as so many Parquet files in the order of `order`, and list them. compression: none, or zlib (deflate)."""
     codec = {"none": "none", "zlib": "gzip"}[compression]
