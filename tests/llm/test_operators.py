@@ -130,6 +130,29 @@ def test_jaccard_splits_large_buckets(spark):
         assert {x.doc_id: least[x.comp] for x in rows} == want
 
 
+def test_jaccard_large_groups_are_not_compared_in_pairs(spark, monkeypatch):
+    """Copies of one text that differ in a little too much: their large buckets are not compared node with node, and no link is lost."""
+    r, compared, met = random.Random(77), [], []
+    base = [f"w{i}" for i in range(100)]
+    edits = [(r.randrange(100), f"e{i}") for i in range(25)]
+    texts = []
+    for _ in range(400):
+        w = list(base)
+        for place, word in r.sample(edits, r.choice([2, 3, 4])):
+            w[place] = word
+        texts.append(" ".join(w))
+    rest, overlapping = op1._rest, getattr(op1, "_overlapping", None)
+    sizes = lambda open_: compared.append(open_.groupBy("key").count().agg({"count": "max"}).collect()[0][0] or 0)
+    monkeypatch.setattr(op1, "_rest", lambda open_, *more: sizes(open_) or rest(open_, *more))
+    monkeypatch.setattr(op1, "_overlapping", lambda *of: met.append(overlapping(*of)) or met[-1], raising=False)
+    for percent in (85, 80):
+        got = {d: (x.n_shingles, x.component_id) for d, x in found(op1.link(documents(spark, texts), 4, percent)).items()}
+        assert got == jaccard_groups(list(enumerate(texts)), 4, percent)
+        assert len({c for _, c in got.values()}) > 20 or percent < 85
+    assert max(compared) <= 128
+    assert met
+
+
 def test_first_of_groups_by_row(spark):
     """One id may stand for several texts; ids may be null; rows may repeat."""
     a, b, c = ("x y z u v w p q", "one two three four five six seven", "far away from all of the others here")

@@ -13,10 +13,16 @@ the two is not short, and then that one's allotment finds it.
 
 Links without pairs: of buckets (keys) that hold the same nodes one is kept. In each bucket all nodes are compared with one
 pivot only; the linked ones are one component, and buckets within one component are done. `ROUNDS` rounds with other pivots
-leave the nodes outside their bucket's largest component; those are compared with the rest of the bucket. Before that, a
-bucket of more than `HOT` nodes (a passage that very many documents share) is split by the keys of a second, independent
-partition of the universe, and what is still large by those of a third: similar sets share a key in each, so no pair is
-lost, and unlike sets seldom meet twice. A parity sketch (each shingle flips one of as many bits as the set has members,
+leave the nodes outside their bucket's largest component; those are compared with the rest of the bucket.
+
+Buckets of more than `HOT` nodes (copies that differ in a little too much, a passage that very many documents share) aren't
+compared so: those that have one more pivot in common are one group, and its sets are replaced by their differences from the
+pivot's, which leave out what the group shares. Symmetric difference is a metric: sets whose differences are small enough
+together are similar without a test, and then each of them is to the one with most room, which is all they are linked with.
+Other sets are similar only if their differences overlap by what exceeds that room, so they meet in one of as many of the first (the
+rarest) members of each as the overlap can't do without. Pairs that don't meet are not similar; no pair is lost, whatever the order.
+
+A parity sketch (each shingle flips one of as many bits as the set has members,
 rounded up to a power of two, at least `BITS`) bounds the symmetric difference from below without error, so what reaches
 the exact test, on the sets themselves, is nearly all similar; only the sets of such pairs are moved.
 
@@ -40,7 +46,9 @@ from weftlog.llm.common import Written, if_small, mix, shingles, slices, small_b
 WORDS, PERCENT = 4, 85
 FIRST, RATIO, SHORT = 6, 1.25, 1000
 BITS = 1024
-ROUNDS, HOT, SPLITS = 2, 4096, 2
+ROUNDS, HOT = 2, 128
+#: Members of a group whose differences tell what is rare in it; only the order depends on them.
+SAMPLE, OFTEN = 256, 3
 _C1, _C2, _C3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -79,11 +87,8 @@ def allotment(low: int, high: int, percent: int) -> tuple[int, int, int]:
     return apart, best[1], best[2]
 
 
-def keys(tokens: np.ndarray, percent: int, universe: int = 0) -> np.ndarray:
-    """All keys of a set, of its own band and of the one below where it can be the larger partner; `universe` numbers independent partitions."""
-    if universe:
-        with np.errstate(over="ignore"):
-            tokens = mix(tokens + np.uint64(universe) * _C3)
+def keys(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """All keys of a set, of its own band and of the one below where it can be the larger partner."""
     n, edges = len(tokens), bands(percent)
     own = int(np.searchsorted(edges, n, "right")) - 1
     if own < 0:
@@ -149,7 +154,7 @@ def _summaries(words):
     return run
 
 
-def _entries(words, percent, universe=0):
+def _entries(words, percent):
     def run(batches):
         seen: set[int] = set()  # a copy within a task adds nothing
         for _, sets in _sets(batches, words):
@@ -159,7 +164,7 @@ def _entries(words, percent, universe=0):
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(node)
-                    found.append(keys(s, percent, universe))
+                    found.append(keys(s, percent))
                     nodes.append(np.full(len(found[-1]), node, np.int64))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
@@ -250,6 +255,48 @@ def _rest(open_: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return x.join(y, (F.col("key") == F.col("b_key")) & (F.col("a_comp") != F.col("b_comp")) & once & _near(percent)).select("a", "b").distinct()
 
 
+def _differences(members: DataFrame, arrays: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """members (p, node, comp) -> with d (the symmetric difference of the sets of node and p) and room: a and b are similar if a's and b's room add up to 0 or more."""
+    both = members.join(arrays, "node").join(pivots, "p")
+    apart = both.select("p", "node", "comp", F.size("items").alias("n"), F.concat(F.array_except("items", "p_items"), F.array_except("p_items", "items")).alias("d"))
+    return apart.select("p", "node", "comp", "d", ((100 - percent) * F.col("n").cast("long") - (100 + percent) * F.size("d").cast("long")).alias("room"))
+
+
+def _widest(apart: DataFrame) -> DataFrame:
+    """Of each group p: its largest component (main), the most room inside and outside that, the node with the most room, the group's size."""
+    per = apart.groupBy("p", "comp").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("room", "node", "comp")).alias("best"))
+    main = per.groupBy("p").agg(F.max(F.struct("m", "comp")).alias("s"), F.max("best").alias("best"), F.sum("m").alias("members"))
+    main = main.select("p", F.col("s.comp").alias("main"), F.col("best.room").alias("best_room"), F.col("best.node").alias("best"), F.col("best.comp").alias("best_comp"), "members")
+    is_main = F.col("comp") == F.col("main")
+    rooms = per.select("p", "comp", "best.room").join(main.select("p", "main"), "p")
+    rooms = rooms.groupBy("p").agg(F.max(F.when(is_main, F.col("room"))).alias("inside"), F.max(F.when(~is_main, F.col("room"))).alias("outside"))
+    return main.join(rooms, "p")
+
+
+def _overlapping(full: DataFrame, percent: int) -> DataFrame:
+    """full (p, node, comp, d in the group's order, room, main, inside, outside) -> pairs (a, b) of two components whose differences may overlap enough."""
+    unit = 2 * (100 + percent)
+
+    def least(room: str, other: str):
+        """Members that two differences must share at least."""
+        return F.expr(f"greatest(1, ({unit - 1} - {room} - {other}) div {unit})")
+
+    def listed(df: DataFrame, c: str):
+        """A row for each member that can be the first one shared: its place in d tells how many may come after."""
+        df = df.withColumn("first", F.slice("d", F.lit(1), F.greatest(F.lit(0), F.size("d") + 1 - F.col("need")).cast("int")))
+        return df.select(F.col("p").alias(f"{c}_p"), F.col("role").alias(f"{c}_role"), F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"), F.col("room").alias(f"{c}_room"), F.size("d").alias(f"{c}_d"), F.posexplode("first").alias(f"{c}_at", f"{c}_item"))
+
+    out = F.col("comp") != F.col("main")
+    roles = F.explode(F.array(F.struct(F.lit(0).alias("role"), least("room", "inside").alias("need")), F.struct(F.lit(1).alias("role"), least("room", "outside").alias("need")))).alias("r")
+    x = listed(full.where(out).select("p", "node", "comp", "room", "d", roles).select("p", "node", "comp", "room", "d", "r.role", "r.need"), "a")
+    y = listed(full.withColumn("role", F.when(out, 1).otherwise(0)).withColumn("need", least("room", "outside")), "b")
+    met = (F.col("a_p") == F.col("b_p")) & (F.col("a_role") == F.col("b_role")) & (F.col("a_item") == F.col("b_item"))
+    once = (F.col("a_comp") != F.col("b_comp")) & ((F.col("a_role") == 0) | (F.col("a") < F.col("b")))
+    need = least("a_room", "b_room")
+    enough = (F.col("a_at") + need <= F.col("a_d")) & (F.col("b_at") + need <= F.col("b_d"))
+    return x.join(y, met & once & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def distinct_buckets(buckets: DataFrame) -> DataFrame:
     """One of the buckets (key, node, ...) that hold the same nodes."""
     marks = buckets.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("m"))
@@ -307,6 +354,33 @@ def classes(docs: DataFrame, words: int, percent: int, hot: int = HOT) -> DataFr
         store.drop(named)
         return left
 
+    def by_differences(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of large buckets (key, node, comp): links (a, b) known without a test, and pairs to be tested."""
+        # The node of most buckets is near the middle of a group, and the pivot of many of them.
+        known_by = large.join(large.groupBy("node").agg(F.count(F.lit(1)).alias("m")), "node")
+        pivots = known_by.groupBy("key").agg(F.max(F.struct("m", F.xxhash64("node").alias("h"), "node")).alias("s")).select("key", F.col("s.node").alias("p"))
+        members = store.write(large.join(pivots, "key").select("p", "node", "comp").distinct(), "members")
+        arrays = held(members.select("node").distinct()).mapInArrow(_arrays(words), "node long, items array<bigint>")
+        arrays = store.write(arrays.dropDuplicates(["node"]) if repeats else arrays, "arrays")
+        sets_ = store.write(arrays.join(members.select(F.col("p").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("p"), F.col("items").alias("p_items")), "pivots")
+        apart = store.write(_differences(members, arrays, sets_, percent), "differences")
+        for df in (members, arrays, sets_):
+            store.drop(df)
+        widest = store.write(_widest(apart), "widest")
+        known = apart.join(if_small(widest), "p")
+        star = known.where((F.col("comp") != F.col("best_comp")) & (F.col("room") + F.col("best_room") >= 0))
+        star = store.write(star.select(F.least("node", "best").alias("a"), F.greatest("node", "best").alias("b")).distinct(), "stars")
+        some = known.where(F.pmod(F.xxhash64("node", F.lit(-1)), F.greatest(F.lit(1), F.floor(F.col("members") / SAMPLE))) == 0).select("p", F.explode("d").alias("item"))
+        often = some.groupBy("p", "item").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= OFTEN)
+        often = store.write(often.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("m", "item"))).alias("o")).select("p", F.col("o.item").alias("often")), "often")
+        # The rare members first, then the others by how often they were met.
+        full = known.join(often, "p", "left").withColumn("often", F.coalesce("often", F.array().cast("array<bigint>")))
+        full = full.withColumn("d", F.concat(F.array_except("d", "often"), F.array_intersect("often", "d")))
+        met = store.write(_overlapping(full, percent), "met")
+        for df in (apart, widest, often):
+            store.drop(df)
+        return star, met
+
     edges: DataFrame | None = None
     comp: DataFrame | None = None
     open_ = buckets.withColumn("comp", F.col("node"))
@@ -322,19 +396,16 @@ def classes(docs: DataFrame, words: int, percent: int, hot: int = HOT) -> DataFr
         if open_.isEmpty():
             break
     else:
-        for universe in range(1, SPLITS + 1):
-            large = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("key")
-            large = store.write(open_.join(large, "key", "left_semi"), "large")
-            if large.isEmpty():
-                break
-            again = held(large.select("node").distinct()).mapInArrow(_entries(words, percent, universe), "key long, node long").distinct().withColumnRenamed("key", "other")
-            split = large.select("key", "node").join(again, "node").select(F.xxhash64("key", "other").alias("key"), "node")
-            split = unsettled(buckets_of(split, f"split{universe}"), comp, f"apart{universe}")
-            before = open_
-            open_ = store.write(open_.join(large.select("key").distinct(), "key", "left_anti").unionByName(split.select(*open_.columns)), f"finer{universe}")
-            for df in (before, large, split):
-                store.drop(df)
-        comp = components(edges.unionByName(confirmed(_rest(open_, nodes, percent), "links")), store)
+        large = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("key")
+        large = store.write(open_.join(large, "key", "left_semi"), "large")
+        if large.isEmpty():
+            pairs = _rest(open_, nodes, percent)
+        else:
+            near, met = by_differences(large)
+            edges = edges.unionByName(near)
+            pairs = _rest(open_.join(large.select("key").distinct(), "key", "left_anti"), nodes, percent).unionByName(met).distinct()
+        comp = components(edges.unionByName(confirmed(pairs, "links")), store)
+        store.drop(large)
         store.drop(open_)
     store.drop(nodes)
     return sets.select("doc_id", "h", "n", "node").join(comp, "node", "left").select("doc_id", "h", "n", F.coalesce("comp", "node").alias("comp"))
