@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from weftlog.functions.digest import lanes
 from weftlog.functions.keys import decode_int, encode_key, key_double, key_int
 from weftlog.functions.rowcodec import _fields, decode_frame, decode_row, encode_frame, encode_row
+from weftlog.sources import columnar
 from weftlog.sources.columnar import Columnar, Compression, encode_file, read_dbc1, write_dbc1
 from weftlog.types import Schema, SchemaError
 
@@ -190,3 +191,62 @@ def test_columnar_in_spark(spark, tmp_path):
     files = [str(p) for p in (tmp_path / "t").glob("*.dbc1")]
     got = read_dbc1(spark, SCORES, [*files, str(tmp_path / "absent")], [2, 0])
     assert sorted(map(tuple, got.collect())) == [(i * 1.5, i) for i in range(50)]
+
+
+def test_columnar_pages_are_decoded_once(tmp_path, monkeypatch):
+    n, decoded, decode = 2000, [], columnar.decode_page
+    table = pa.table([pa.array(range(n), pa.int64()), [f"row{i}" for i in range(n)], np.arange(n) * 1.5, [i % 2 == 0 for i in range(n)]], names=SCORES.names)
+    (tmp_path / "a.dbc1").write_bytes(encode_file(SCORES, table, "zlib"))
+    monkeypatch.setattr(columnar, "decode_page", lambda kind, raw, count: decoded.append(len(raw)) or decode(kind, raw, count))
+    reader = columnar._Reader(SCORES, ["score", "name"], [str(tmp_path / "a.dbc1")], 100)
+    batches = list(reader.read(reader.partitions()[0]))
+    assert [b.num_rows for b in batches] == [100] * 20
+    assert pa.Table.from_batches(batches).to_pydict() == table.select(["score", "name"]).to_pydict()
+    assert sum(decoded) == 8 * n + sum(4 + len(f"row{i}") for i in range(n))
+
+
+@pytest.mark.parametrize("codec", ["none", "zlib"])
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_columnar_batches_are_the_ranges(codec, block, monkeypatch):
+    monkeypatch.setattr(columnar, "BLOCK", block, raising=False)
+    n = 50
+    table = pa.table([pa.array(range(n), pa.int32()), ["é" * (i % 9) for i in range(n)], np.arange(n) * 1.5, [i % 3 == 0 for i in range(n)], [bytes(200 * (i % 2)) for i in range(n)], pa.array(np.arange(n), pa.float32()), pa.array(range(n), pa.int64())], names=EVERY.names)
+    file = _open(encode_file(EVERY, table, codec), EVERY)
+    for size in (1, 7, 50, 1000):
+        for wanted in (None, [4, 1, 1], []):
+            got = list(file.batches(size, wanted))
+            assert all(a.equals(file.read_range(first, size, wanted)) for a, first in zip(got, range(0, n, size), strict=True))
+    assert list(_open(encode_file(EVERY, table.slice(0, 0), codec), EVERY).batches(10)) == []
+
+
+@pytest.mark.parametrize("codec", ["none", "zlib"])
+def test_columnar_batches_check_whole_pages(codec):
+    schema = Schema.of(s="String")
+    whole = encode_file(schema, pa.table({"s": [f"row{i}" for i in range(100)]}), codec)
+    size = 16 + 34  # of the footer, before its own size and the magic
+    at = len(whole) - 12 - size
+    stored, raw = struct.unpack_from("<QQ", whole, at + 16 + 2 + 8)
+    entry = lambda *v: whole[: at + 18] + struct.pack("<QQQQ", *v) + whole[at + 50 :]
+    assert sum(b.num_rows for b in _open(entry(4, stored, raw, 100), schema).batches(30)) == 100
+    for bad in (entry(4, stored - 1, raw, 100), entry(4, stored, raw - 1, 100), entry(4, stored, raw + 1, 100), entry(4, stored, raw, 99), whole[:5] + b"\xff" + whole[6:]):
+        with pytest.raises(SchemaError):
+            list(_open(bad, schema).batches(30))
+
+
+def test_columnar_sink_begins_new_files(spark, tmp_path, monkeypatch):
+    rows = [(i, f"row{i}", i * 1.5, i % 2 == 0) for i in range(500)]
+    batches = pa.Table.from_pylist([dict(zip(SCORES.names, r, strict=True)) for r in rows]).to_batches(50)
+    monkeypatch.setattr(columnar, "FILE_BYTES", 2 * max(b.nbytes for b in batches), raising=False)
+    sink = columnar._Writer(SCORES, str(tmp_path / "t"), "zlib")
+    kept, again = sink.write(iter(batches)), sink.write(iter(batches[:3]))
+    assert not list((tmp_path / "t").glob("*.dbc1"))
+    sink.abort([again, None])
+    sink.commit([kept, None])
+    files = sorted(map(str, (tmp_path / "t").glob("*")))
+    assert len(files) == 5 and all(f.endswith(".dbc1") for f in files)
+    assert sorted(map(tuple, read_dbc1(spark, SCORES, files).collect())) == rows
+
+
+def test_columnar_empty_table(spark, tmp_path):
+    write_dbc1(spark.createDataFrame([], SCORES.spark()), str(tmp_path / "t"))
+    assert list((tmp_path / "t").glob("*")) == [] and read_dbc1(spark, SCORES, []).count() == 0

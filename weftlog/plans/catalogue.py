@@ -17,7 +17,7 @@ from weftlog.operators.services import Catalog, ImportService, OneProcess, Query
 from weftlog.operators.snapshot import SnapshotSource, Table
 from weftlog.operators.writer import DEFERRED, IMMEDIATE, ImportBatch, TableWriter
 from weftlog.sources.columnar import read_dbc1, write_dbc1
-from weftlog.sources.table import ParquetSource, RowSource, write_files
+from weftlog.sources.table import ParquetSource, RowSource, parts, write_files
 from weftlog.streaming.ingest import table_sink
 from weftlog.types import Schema
 
@@ -144,7 +144,8 @@ def write_read_deflate(spark, sf_dir):
 @query("SELECT p_retailprice, p_name FROM part")
 def columnar_file_roundtrip(spark, sf_dir):
     folder = _root(spark).removeprefix("file://").removeprefix("file:") + "/part"
-    write_dbc1(_rows(spark, sf_dir, "part", PART).repartition(2), folder, "zlib")
+    rows = _rows(spark, sf_dir, "part", PART)
+    write_dbc1(rows.repartition(parts(rows, 2)), folder, "zlib")
     import os
 
     return read_dbc1(spark, PART, sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".dbc1")), [5, 1])

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from weftlog.functions.rowcodec import aliased, decode_frame
@@ -16,6 +17,8 @@ from weftlog.types import Schema
 BATCH_ROWS = 1024
 #: Most (path, number) pairs that are broadcast, some 20 MB; more are joined by shuffles.
 BROADCAST_PAIRS = 100_000
+#: Bytes of values that a task writes, about a scan's split; what has more is written by more tasks than asked for.
+PART_BYTES = 128 << 20
 
 
 class TableSource:
@@ -142,6 +145,16 @@ def write_files(df: DataFrame, folder: str, files: int = 1, compression: str = "
     return sorted(n for n in names if n.endswith(".parquet"))
 
 
+def parts(df: DataFrame, least: int = 1) -> int:
+    """The number of equal parts, least or more, that have PART_BYTES of values at most; a pass over df adds up their sizes."""
+    size = F.lit(0)
+    for f in df.schema:
+        value = F.col(f"`{f.name}`")
+        fixed = isinstance(f.dataType, (T.NumericType, T.BooleanType))
+        size += F.lit(8) if fixed else F.coalesce(F.octet_length(value if isinstance(f.dataType, T.BinaryType) else value.cast("string")), F.lit(0))
+    return max(least, -(-(df.agg(F.sum(size.cast("long"))).head()[0] or 0) // PART_BYTES))
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with each row's place in the given order: for frames known to be small."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
