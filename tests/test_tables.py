@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from weftlog.functions.keys import encode_key, key_int
 from weftlog.functions.rowcodec import encode_frame, encode_row
 from weftlog.operators.kv import MOST_VALUE, KeyValueTable
+from weftlog.plans import catalogue
+from weftlog.plans.catalogue import DOCUMENTS, EVENTS, ORDERS, PART, QUERIES
 from weftlog.sources import table as table_module
-from weftlog.sources.table import ParquetSource, RowSource, looked_up, write_files
+from weftlog.sources.table import ParquetSource, RowSource, looked_up, parts, write_files
 from weftlog.types import Schema, SchemaError
 
 SCORES = Schema.of(id="Int64", name="String", score="Double", active="Bool")
@@ -137,3 +139,40 @@ def test_first_of_equal_keys_in_the_frame_wins(spark, tmp_path):
     rows = spark.range(0, 400, 1, 8).select(key_int(F.col("id") % 5).alias("k"), F.col("id").cast("string").cast("binary").alias("v"))
     assert table.insert(rows) == 5
     assert [bytes(r.v) for r in table.scan().collect()] == [b"0", b"1", b"2", b"3", b"4"]
+
+
+def test_parts_by_the_sizes_of_values(spark, monkeypatch):
+    rows = [(1, "é", bytearray(b"abc"), True), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, s string, b binary, `a.b` boolean")
+    sizes = 2 * 8 + 2 * 8 + 2 + 3
+    for most, n in ((sizes, 1), (sizes - 1, 2), (sizes // 4, 5), (1, sizes)):
+        monkeypatch.setattr(table_module, "PART_BYTES", most)
+        assert parts(df) == n and parts(df, 3) == max(3, n)
+    assert parts(df.limit(0)) == 1 and parts(df.limit(0), 4) == 4
+
+
+@pytest.mark.parametrize("least", [1, 4])
+def test_large_tables_are_written_by_more_tasks(spark, tmp_path, monkeypatch, least):
+    df = spark.range(2000).select("id", F.repeat(F.lit("x"), 100).alias("text"))
+    monkeypatch.setattr(table_module, "PART_BYTES", 10_800, raising=False)
+    files = write_files(df.repartition(3), f"{tmp_path}/t", least, "zlib", ["id"])
+    assert len(files) == 20
+    ranges = [[r.id for r in spark.read.parquet(f).collect()] for f in files]
+    assert [i for ids in ranges for i in ids] == list(range(2000))
+    assert max(map(len, ranges)) <= 200
+    assert 3 <= len(write_files(df.repartition(30), f"{tmp_path}/u")) <= 20
+    monkeypatch.setattr(table_module, "PART_BYTES", 1 << 27)
+    assert len(write_files(df.repartition(3), f"{tmp_path}/v", least, "zlib", ["id"])) == least
+
+
+@pytest.mark.parametrize("name, table, columns", [("multi_file_concat", "orders", ORDERS.names), ("missing_file_skipped", "orders", ["o_orderkey", "o_totalprice"]), ("write_read_uncompressed", "part", PART.names), ("write_read_deflate", "documents", DOCUMENTS.names), ("columnar_file_roundtrip", "part", ["p_retailprice", "p_name"]), ("stream_ingest", "events", EVENTS.names)])
+def test_queries_write_more_files_for_larger_tables(spark, monkeypatch, name, table, columns):
+    monkeypatch.setattr(table_module, "PART_BYTES", {"documents": 50_000, "part": 2_000, "events": 5_000}.get(table, 10_000), raising=False)
+    found = []
+    monkeypatch.setattr(table_module, "parts", lambda *a: found.append(parts(*a)) or found[-1])
+    monkeypatch.setattr(catalogue, "parts", table_module.parts)
+    sf_dir = "/root/testdata/sf0.001"
+    got = QUERIES[name](spark, sf_dir)
+    want = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+    assert found[0] > 4
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -130,8 +130,9 @@ def looked_up(rows: DataFrame, key: str, pairs: list[tuple[str, int]], name: str
 
 
 def write_files(df: DataFrame, folder: str, files: int = 1, compression: str = "none", order: list[str] | None = None) -> list[str]:
-    """Write df as so many Parquet files in the order of `order`, and list them. compression: none, or zlib (deflate)."""
+    """Write df as so many Parquet files in the order of `order`, more where one would have over PART_BYTES, and list them. compression: none, or zlib (deflate)."""
     codec = {"none": "none", "zlib": "gzip"}[compression]
+    files = parts(df, files)
     if order and files > 1:
         df = df.repartitionByRange(files, *order).sortWithinPartitions(*order)
     elif order:
@@ -147,12 +148,12 @@ def write_files(df: DataFrame, folder: str, files: int = 1, compression: str = "
 
 def parts(df: DataFrame, least: int = 1) -> int:
     """The number of equal parts, least or more, that have PART_BYTES of values at most; a pass over df adds up their sizes."""
-    size = F.lit(0)
+    size = F.lit(0).cast("long")
     for f in df.schema:
         value = F.col(f"`{f.name}`")
         fixed = isinstance(f.dataType, (T.NumericType, T.BooleanType))
         size += F.lit(8) if fixed else F.coalesce(F.octet_length(value if isinstance(f.dataType, T.BinaryType) else value.cast("string")), F.lit(0))
-    return max(least, -(-(df.agg(F.sum(size.cast("long"))).head()[0] or 0) // PART_BYTES))
+    return max(least, -(-(df.agg(F.sum(size)).head()[0] or 0) // PART_BYTES))
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
