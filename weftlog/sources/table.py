@@ -17,8 +17,8 @@ from weftlog.types import Schema
 BATCH_ROWS = 1024
 #: Most (path, number) pairs that are broadcast, some 20 MB; more are joined by shuffles.
 BROADCAST_PAIRS = 100_000
-#: Bytes of values that a task writes, about a scan's split; what has more is written by more tasks than asked for.
-PART_BYTES = 128 << 20
+#: Bytes of values that a task writes; what has more is written by more tasks than asked for.
+PART_BYTES = 64 << 20
 
 
 class TableSource:
